@@ -14,6 +14,16 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexweave.llm.language_id import identify, learn
+
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    profiles = learn(docs.where(~held_out))
+    found = identify(docs.select("doc_id", "text"), profiles)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexweave.llm.packing import pack
 
@@ -21,6 +31,30 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexweave.llm.chat_format import format_conversations, loss_text, read_turns
+
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"SELECT -7L AS conv_id, 0L AS turn, 'user' AS role, '{said}' AS text UNION ALL SELECT -7L, 1L, 'assistant', '{said}'")
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    out = format_conversations(turns)
+    read = out.select(
+        "conv_id",
+        F.explode(F.array(read_turns(F.col("formatted")))).alias("turns"),
+        loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexweave.llm.token_files import round_trip
 
@@ -49,13 +83,36 @@ WINDOW w AS (PARTITION BY body ORDER BY n_chars DESC, doc_id)
 """
 
 
+#: The template's own length: marks around each run of one role, a separator between its texts, a tilde per control string.
+OP6_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+m AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) IS NOT DISTINCT FROM role AS joins,
+    CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 26 + length(role) END AS marks,
+    length(regexp_replace(text, '([<\[])(~*)(/?s>|/?INST\]|</?(?:SYS|ROLE|TURN|SEP)>>)', '\1~\2\3', 'g')) AS n_escaped
+  FROM t)
+SELECT conv_id,
+  CAST(count(*) AS BIGINT) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  CAST(sum(n_escaped + CASE WHEN joins THEN 7 ELSE marks END) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
+
 def queries() -> dict:
     return {
+        "op2_language_id": op2_language_id,
         "op4_packing": op4_packing,
+        "op6_chat_format": op6_chat_format,
         "op7_token_files": op7_token_files,
         "op9_exact_dedup": op9_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op6_chat_format": OP6_SQL, "op9_exact_dedup": OP9_SQL}
