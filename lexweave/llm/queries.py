@@ -14,6 +14,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexweave.llm.mixing import mix
+
+    mixed = mix(read_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexweave.llm.language_id import identify, learn
 
@@ -62,6 +69,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexweave.llm.order_minhash import fingerprints
+
+    return fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexweave.llm.exact_dedup import exact_duplicates
 
@@ -106,10 +119,12 @@ FROM m GROUP BY conv_id
 
 def queries() -> dict:
     return {
+        "op1_mixing": op1_mixing,
         "op2_language_id": op2_language_id,
         "op4_packing": op4_packing,
         "op6_chat_format": op6_chat_format,
         "op7_token_files": op7_token_files,
+        "op8_order_minhash": op8_order_minhash,
         "op9_exact_dedup": op9_exact_dedup,
     }
 
