@@ -38,6 +38,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexweave.llm.html_extract import extract
+
+    return extract(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexweave.llm.chat_format import format_conversations, loss_text, read_turns
 
@@ -122,6 +128,7 @@ def queries() -> dict:
         "op1_mixing": op1_mixing,
         "op2_language_id": op2_language_id,
         "op4_packing": op4_packing,
+        "op5_html_extract": op5_html_extract,
         "op6_chat_format": op6_chat_format,
         "op7_token_files": op7_token_files,
         "op8_order_minhash": op8_order_minhash,
