@@ -87,6 +87,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexweave.llm.ngram_join import jaccard_components
+
+    return jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n_chars,
@@ -133,6 +139,7 @@ def queries() -> dict:
         "op7_token_files": op7_token_files,
         "op8_order_minhash": op8_order_minhash,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_ngram_join": op10_ngram_join,
     }
 
 
