@@ -31,6 +31,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexweave.llm.lm_scoring import learn, score
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    scored = score(docs, learn(docs.where(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexweave.llm.packing import pack
 
@@ -133,6 +142,7 @@ def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
         "op2_language_id": op2_language_id,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_packing": op4_packing,
         "op5_html_extract": op5_html_extract,
         "op6_chat_format": op6_chat_format,
