@@ -57,10 +57,12 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, out: str, end_id: int
 
     from lexweave.llm.tokens import encoder
 
-    some = docs.select(F.substring(whole_text(), 1, 20000).alias("text"), F.xxhash64("doc_id").alias("h")).orderBy("h").limit(rows)
+    h = F.xxhash64("doc_id")
+    last = docs.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    some = docs.where(h <= (last or 0)).select(F.substring(whole_text(), 1, 4096).alias("text")).limit(rows)
     enc = encoder(tokenizer_path)
     kind = f"<u{_width(enc.vocab_size)}"
-    texts = [r[0].encode() for r in some.select("text").collect()]
+    texts = [r[0].encode() for r in some.collect()]
     samples = [np.frombuffer(x, "<u4").astype(kind).tobytes() for i in range(0, len(texts), 200) for x in enc.encode(texts[i : i + 200])]
     try:
         raw = zstandard.train_dictionary(size, samples).as_bytes()
@@ -129,7 +131,8 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: in
 
     spark = docs.sparkSession
     ordered = docs.select(F.col("doc_id").cast("bigint"), whole_text().alias("text")).repartitionByRange(shuffle_partitions(spark), "doc_id")
-    return ordered.sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST).orderBy("shard").collect()
+    # no sort in Spark: it would sample, and so write everything twice
+    return sorted(ordered.sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST).collect())
 
 
 class TokenFile:
