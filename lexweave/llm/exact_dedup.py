@@ -110,7 +110,7 @@ def build_index(docs: DataFrame, keys: DataFrame, capacity: int) -> DataFrame:
     )
     owners = shuffle_partitions(spark) * 4
     chains = pages.groupBy("key").agg(F.collect_list(F.struct("sha", "size", "best")).alias("chain"))
-    depths = [r[0] for r in buckets.select("bits").distinct().collect()]  # at most MAX_BITS numbers
+    depths = [r[0] for r in buckets.select("bits").distinct().collect()] or [FIRST_BITS]  # at most MAX_BITS numbers
     address = F.array(*[F.struct(F.lit(b).alias("bits"), _prefix(F.col("key"), b).alias("prefix")) for b in sorted(depths)])
     placed = (
         chains.select("key", "chain", F.explode(address).alias("a")).select("key", "chain", "a.bits", "a.prefix")

@@ -59,7 +59,7 @@ def grams(text: str):
     gap = c == 32
     two = (c[:-1] << 21) | c[1:]
     three = (two[:-1] << 21) | c[2:]
-    return np.concatenate((c[~gap], two[~(gap[:-1] & gap[1:])], three[~gap[1:-1] & ~(gap[:-2] & gap[2:])]))
+    return np.concatenate((c[~gap], two[~(gap[:-1] & gap[1:])], three[~gap[1:-1]]))
 
 
 def _ranked(codes, top: int):
