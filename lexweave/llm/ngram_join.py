@@ -37,7 +37,6 @@ TOKEN_BITS = 48
 FLUSH = 1_500_000  # tokens that a task holds before it deals them out
 CHUNK = 128  # members of a chunk of a group
 VISITORS = 512  # classes that are compared with a chunk at once
-LEADERS = 2  # leaders that a class is compared with
 
 _lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -92,9 +91,23 @@ def classes_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), whole_text().alias("text")).mapInArrow(sets, "doc_id bigint, n_shingles bigint, class bigint")
 
 
-def shared_tokens(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(class, n, shared, tokens, holders): packed tokens of a class, from one owner, that other classes hold too."""
-    owners = 2 * shuffle_partitions(docs.sparkSession)
+def _packed(tokens) -> bytes:
+    import numpy as np
+
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : TOKEN_BITS // 8].tobytes()
+
+
+def _unpacked(raw: bytes):
+    import numpy as np
+
+    width = TOKEN_BITS // 8
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+def shared_tokens(docs: DataFrame, words: int, owners: int) -> DataFrame:
+    """(part, class, runs, tokens, holders): tokens that several classes hold, packed by owner and part of the classes."""
 
     def deal(batches):
         import numpy as np
@@ -106,20 +119,19 @@ def shared_tokens(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
         def flush():
             tok = np.concatenate([s for _, s in held])
-            doc = np.repeat(np.arange(len(held)), [len(s) for _, s in held])
+            doc = np.repeat(np.arange(len(held), dtype=np.int32), [len(s) for _, s in held])
             name = np.array([c for c, _ in held], np.int64)
-            n = np.array([len(s) for _, s in held], np.uint32)
             owner = (tok % np.uint64(owners)).astype(np.int32)
             order = np.argsort(owner, kind="stable")
             tok, doc, owner = tok[order], doc[order], owner[order]
             at = np.flatnonzero(np.diff(owner, prepend=-1))
             rows = []
             for a, b in zip(at.tolist(), at[1:].tolist() + [len(owner)]):
-                d, k = np.unique(doc[a:b], return_counts=True)
-                packed = tok[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : TOKEN_BITS // 8]
-                rows.append((int(owner[a]), name[d].tobytes(), n[d].tobytes(), k.astype(np.uint32).tobytes(), packed.tobytes()))
+                first = np.flatnonzero(np.diff(doc[a:b], prepend=-1))
+                runs = np.diff(np.append(first, b - a))
+                rows.append((int(owner[a]), name[doc[a:b][first]].tobytes(), runs.astype("<u4").tobytes(), _packed(tok[a:b])))
             cols = list(zip(*rows))
-            return pa.record_batch([pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]], names=["owner", "class", "n", "k", "tokens"])
+            return pa.record_batch([pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]], names=["owner", "class", "runs", "tokens"])
 
         for batch in batches:
             for _, texts in text_slices(batch.column(0)):
@@ -141,108 +153,121 @@ def shared_tokens(docs: DataFrame, words: int = WORDS) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        tok, name, n = [], [], []
-        for row in zip(*(table.column(c) for c in ("class", "n", "k", "tokens"))):
-            c, m, k, t = (x.as_py() for x in row)
-            k = np.frombuffer(k, np.uint32)
-            raw = np.zeros((len(t) // (TOKEN_BITS // 8), 8), np.uint8)
-            raw[:, : TOKEN_BITS // 8] = np.frombuffer(t, np.uint8).reshape(len(raw), -1)
-            tok.append(raw.view("<u8").ravel())
-            name.append(np.repeat(np.frombuffer(c, np.int64), k))
-            n.append(np.repeat(np.frombuffer(m, np.uint32), k))
-        tok, name, n = np.concatenate(tok), np.concatenate(name), np.concatenate(n)
+        names = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in table.column("class")])
+        runs = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("runs")])
+        tok = np.concatenate([_unpacked(x.as_py()) for x in table.column("tokens")])
+        who = np.repeat(np.arange(len(names), dtype=np.int32), runs)
+        order = np.argsort(tok)
+        tok, who = tok[order], who[order]
+        same = tok[1:] == tok[:-1]
+        often = np.zeros(len(tok), bool)
+        often[1:] |= same
+        often[:-1] |= same
+        tok, name = tok[often], names[who[often]]
         order = np.lexsort((name, tok))
-        tok, name, n = tok[order], name[order], n[order]
+        tok, name = tok[order], name[order]
         new = np.ones(len(tok), bool)
-        new[1:] = (tok[1:] != tok[:-1]) | (name[1:] != name[:-1])  # a class that several tasks met
-        tok, name, n = tok[new], name[new], n[new]
-        first = np.flatnonzero(np.diff(tok, prepend=tok[:1] + np.uint64(1)))
-        holders = np.repeat(*(lambda d: (d, d))(np.diff(np.append(first, len(tok)))))
+        new[1:] = (tok[1:] != tok[:-1]) | (name[1:] != name[:-1])  # several tasks can meet one class
+        tok, name = tok[new], name[new]
+        _, holders = np.unique(tok, return_counts=True)
+        holders = np.repeat(holders, holders)
         more = holders > 1
-        tok, name, n, holders = tok[more], name[more], n[more], holders[more]
-        order = np.argsort(name, kind="stable")
-        tok, name, n, holders = tok[order], name[order], n[order], holders[order].astype(np.uint32)
-        at = np.flatnonzero(np.diff(name, prepend=name[:1] + 1)) if len(name) else np.zeros(0, int)
-        ends = np.append(at[1:], len(name)).astype(int)
-        return pa.table(
-            {
-                "class": pa.array(name[at]), "n": pa.array(n[at].astype(np.int64)), "shared": pa.array((ends - at).astype(np.int64)),
-                "tokens": pa.array([tok[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()),
-                "holders": pa.array([holders[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()),
-            }
-        )
-
-    dealt = docs.select(whole_text().alias("text")).mapInArrow(deal, "owner int, class binary, n binary, k binary, tokens binary")
-    return dealt.groupBy("owner").applyInArrow(count, "class bigint, n bigint, shared bigint, tokens binary, holders binary")
-
-
-def able_classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Classes that can have a partner: class, n, own (tokens no other class has), tokens (sorted), prefix."""
-    parts = shared_tokens(docs, words)
-    able = (
-        parts.groupBy("class", "n").agg(F.sum("shared").alias("shared"), F.collect_list(F.struct("tokens", "holders")).alias("parts"))
-        .where(F.col("shared") * 100 >= F.col("n") * THRESHOLD)
-    )
+        tok, name, holders = tok[more], name[more], np.minimum(holders[more], 65535).astype("<u2")
+        part = name % owners
+        order = np.lexsort((name, part))
+        tok, name, holders, part = tok[order], name[order], holders[order], part[order]
+        rows = []
+        at = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+        for a, b in zip(at, at[1:] + [len(part)]):
+            first = np.flatnonzero(np.diff(name[a:b], prepend=name[a] + 1))
+            runs = np.diff(np.append(first, b - a)).astype("<u4")
+            rows.append((int(part[a]), name[a:b][first].tobytes(), runs.tobytes(), _packed(tok[a:b]), holders[a:b].tobytes()))
+        cols = list(zip(*rows)) or [()] * 5
+        return pa.table({"part": pa.array(cols[0], pa.int64())} | {k: pa.array(c, pa.binary()) for k, c in zip(("class", "runs", "tokens", "holders"), cols[1:])})
+
+    dealt = docs.select(whole_text().alias("text")).mapInArrow(deal, "owner int, class binary, runs binary, tokens binary")
+    return dealt.groupBy("owner").applyInArrow(count, "part bigint, class binary, runs binary, tokens binary, holders binary")
+
+
+def able_classes(docs: DataFrame, found: DataFrame, words: int = WORDS) -> DataFrame:
+    """Classes that can have a partner: class, n, shared, tokens (sorted, packed), prefix.
+
+    ``found``: the result of :func:`classes_of`.
+    """
+    owners = shuffle_partitions(docs.sparkSession)
+    parts = shared_tokens(docs, words, owners)
+    sizes = found.where(F.col("class").isNotNull()).groupBy(F.col("class").alias("name")).agg(F.max("n_shingles").alias("n"))
+    sizes = sizes.withColumn("home", F.pmod("name", F.lit(owners).cast("bigint")))
 
-    def order(batches):
+    def gather(parts, sizes):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            out = {k: [] for k in ("class", "n", "own", "tokens", "prefix")}
-            for name, n, shared, parts in zip(*(batch.column(c).to_pylist() for c in ("class", "n", "shared", "parts"))):
-                tok = np.frombuffer(b"".join(p["tokens"] for p in parts), "<u8")
-                holders = np.frombuffer(b"".join(p["holders"] for p in parts), "<u4")
-                least = -(-n * THRESHOLD // 100)
-                own = n - shared
-                first = np.lexsort((tok, holders))[: n - least + 1 - own]
-                for k, v in zip(out, (name, n, own, np.sort(tok).tobytes(), tok[first].astype(np.int64).tolist())):
+        out = {k: [] for k in ("class", "n", "shared", "tokens", "prefix")}
+        if parts.num_rows and sizes.num_rows:
+            join = lambda c, kind: np.frombuffer(b"".join(x.as_py() for x in parts.column(c)), kind)
+            name = np.repeat(join("class", "<i8"), join("runs", "<u4"))
+            tok, holders = _unpacked(join("tokens", np.uint8).tobytes()), join("holders", "<u2")
+            order = np.argsort(name, kind="stable")
+            name, tok, holders = name[order], tok[order], holders[order]
+            at = np.flatnonzero(np.diff(name, prepend=name[0] + 1))
+            shared = np.diff(np.append(at, len(name)))
+            known, n = sizes.column("name").to_numpy(), sizes.column("n").to_numpy()
+            order = np.argsort(known)
+            n = n[order][np.searchsorted(known[order], name[at])]
+            for i in np.flatnonzero(shared * 100 >= n * THRESHOLD).tolist():
+                a, b, size = int(at[i]), int(at[i] + shared[i]), int(n[i])
+                least = -(-size * THRESHOLD // 100)
+                first = np.lexsort((tok[a:b], holders[a:b]))[: b - a - least + 1]  # tokens of its own come before all these
+                for k, v in zip(out, (int(name[a]), size, b - a, _packed(np.sort(tok[a:b])), tok[a:b][first].astype(np.int64).tolist())):
                     out[k].append(v)
-            yield pa.record_batch(
-                [pa.array(out["class"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["own"], pa.int64()), pa.array(out["tokens"], pa.binary()), pa.array(out["prefix"], pa.list_(pa.int64()))],
-                names=list(out),
-            )
+        return pa.table(
+            {k: pa.array(out[k], pa.int64()) for k in ("class", "n", "shared")}
+            | {"tokens": pa.array(out["tokens"], pa.binary()), "prefix": pa.array(out["prefix"], pa.list_(pa.int64()))}
+        )
 
-    return able.mapInArrow(order, "class bigint, n bigint, own bigint, tokens binary, prefix array<bigint>")
+    return parts.groupBy("part").cogroup(sizes.groupBy("home")).applyInArrow(gather, "class bigint, n bigint, shared bigint, tokens binary, prefix array<bigint>")
 
 
-def _sizes_allow(a: str, b: str):
-    return (F.col(a) * 100 >= F.col(b) * THRESHOLD) & (F.col(b) * 100 >= F.col(a) * THRESHOLD)
+def _can_link(n, shared, other_n, other_shared):
+    """Whether a link is possible: at Jaccard t, t (|A| + |B|) / (1 + t) tokens are common, and tokens of one's own aren't."""
+    together = F.col(n) + F.col(other_n)
+    return F.least(F.col(shared), F.col(other_shared)) * (100 + THRESHOLD) >= together * THRESHOLD
 
 
 def led_links(able: DataFrame, prefixes: DataFrame) -> DataFrame:
     """(a, leader): verified links of classes with the plainest class that their prefix tokens lead to."""
-    plain = F.struct((F.col("own") / F.col("n")).alias("share"), F.col("class"), F.col("n"))
+    plain = F.struct((1 - F.col("shared") / F.col("n")).alias("share"), F.col("class"), F.col("n"), F.col("shared"))
     lead = prefixes.groupBy("token").agg(F.min(plain).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    lead = lead.select("token", F.col("lead.class").alias("leader"), F.col("lead.n").alias("leader_n"), F.col("lead.share").alias("share"))
+    lead = lead.select("token", F.col("lead.class").alias("leader"), F.col("lead.n").alias("leader_n"), F.col("lead.shared").alias("leader_shared"), F.col("lead.share").alias("share"))
     votes = (
-        prefixes.join(lead, "token").where((F.col("class") != F.col("leader")) & _sizes_allow("n", "leader_n"))
+        prefixes.join(lead, "token").where((F.col("class") != F.col("leader")) & _can_link("n", "shared", "leader_n", "leader_shared"))
         .groupBy("class", "leader").agg(F.min("share").alias("share"), F.count(F.lit(1)).alias("votes"))
     )
-    # the plainest leader and the one most tokens lead to; what else there is the matrix finds
-    best = votes.groupBy("class").agg(
-        F.min(F.struct("share", "leader")).alias("plainest"), F.max(F.struct("votes", "leader")).alias("nearest")
-    )
-    pairs = best.select("class", F.explode(F.array_distinct(F.array("plainest.leader", "nearest.leader"))).alias("leader"))
-    mine = able.select("class", "n", "tokens")
-    theirs = able.select(F.col("class").alias("leader"), F.col("n").alias("leader_n"), F.col("tokens").alias("leader_tokens"))
-    both = pairs.join(mine, "class").join(theirs, "leader")
-
-    def verify(batches):
+    # one leader for each class; what else there is the matrix finds
+    pairs = votes.groupBy("class").agg(F.min(F.struct("share", -F.col("votes"), "leader")).alias("best")).select("class", F.col("best.leader").alias("leader"))
+    pairs = stored(pairs, "jaccard_pairs")
+    rooms = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("rooms"))
+    led = rooms.join(able.select(F.col("class").alias("leader"), F.col("n").alias("h_n"), F.col("tokens").alias("h_tokens")), "leader")
+    led = led.select(F.col("leader").alias("h_class"), "h_n", "h_tokens", F.explode(F.sequence(F.lit(0), F.col("rooms") - 1)).alias("h_room"))
+    seated = pairs.join(rooms, "leader").select("leader", F.pmod(F.xxhash64("class"), F.col("rooms")).cast("int").alias("room"), F.col("class").alias("v_class"))
+    followers = seated.join(able.select(F.col("class").alias("v_class"), F.col("n").alias("v_n"), F.col("tokens").alias("v_tokens")), "v_class")
+
+    def verify(guests, host):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            cols = {c: batch.column(c).to_pylist() for c in ("class", "leader", "n", "leader_n", "tokens", "leader_tokens")}
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(cols[c][i], "<u8") for c in ("tokens", "leader_tokens"))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if common * 100 >= THRESHOLD * (cols["n"][i] + cols["leader_n"][i] - common):
-                    keep.append(i)
-            yield pa.record_batch([pa.array([cols["class"][i] for i in keep], pa.int64()), pa.array([cols["leader"][i] for i in keep], pa.int64())], names=["a", "leader"])
+        a, b = [], []
+        if guests.num_rows and host.num_rows:
+            name, size, own = host.column("h_class")[0].as_py(), host.column("h_n")[0].as_py(), _unpacked(host.column("h_tokens")[0].as_py())
+            for guest, n, t in zip(guests.column("v_class").to_pylist(), guests.column("v_n").to_pylist(), guests.column("v_tokens")):
+                common = len(np.intersect1d(own, _unpacked(t.as_py()), assume_unique=True))
+                if common * 100 >= THRESHOLD * (n + size - common):
+                    a.append(guest)
+                    b.append(name)
+        return pa.table({"a": pa.array(a, pa.int64()), "leader": pa.array(b, pa.int64())})
 
-    return both.select("class", "leader", "n", "leader_n", "tokens", "leader_tokens").mapInArrow(verify, "a bigint, leader bigint")
+    return followers.groupBy("leader", "room").cogroup(led.groupBy("h_class", "h_room")).applyInArrow(verify, "a bigint, leader bigint")
 
 
 def visiting_links(able: DataFrame, prefixes: DataFrame, groups: DataFrame) -> DataFrame:
@@ -256,11 +281,11 @@ def visiting_links(able: DataFrame, prefixes: DataFrame, groups: DataFrame) -> D
     )
     seats = stored(seats, "group_seats")
     held = prefixes.join(seats, "class")
-    matrix = held.groupBy("token", "grp", "chunk", "members").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    asks = held.select("token", F.col("class").alias("visitor"), F.col("n").alias("visitor_n"), F.col("grp").alias("from_grp"), F.col("members").alias("from_members"))
+    matrix = held.groupBy("token", "grp", "chunk", "members").agg(F.min("n").alias("least"), F.max("shared").alias("most_shared"))
+    asks = held.select("token", F.col("class").alias("visitor"), F.col("n").alias("visitor_n"), F.col("shared").alias("visitor_shared"), F.col("grp").alias("from_grp"), F.col("members").alias("from_members"))
     # of two groups, the one with fewer members visits
     smaller = (F.col("from_members") < F.col("members")) | ((F.col("from_members") == F.col("members")) & (F.col("from_grp") < F.col("grp")))
-    fits = (F.col("most") * 100 >= F.col("visitor_n") * THRESHOLD) & (F.col("least") * THRESHOLD <= F.col("visitor_n") * 100)
+    fits = _can_link("visitor_n", "visitor_shared", "least", "most_shared")
     visits = (
         asks.join(matrix, "token").where((F.col("from_grp") != F.col("grp")) & smaller & fits)
         .select("visitor", "grp", "chunk").distinct()
@@ -282,13 +307,13 @@ def visiting_links(able: DataFrame, prefixes: DataFrame, groups: DataFrame) -> D
 
         a, b = [], []
         if guests.num_rows and members.num_rows:
-            own = [np.frombuffer(t.as_py(), "<u8") for t in members.column("h_tokens")]
+            own = [_unpacked(t.as_py()) for t in members.column("h_tokens")]
             own_n = np.array(members.column("h_n").to_pylist())
             own_name = members.column("h_class").to_pylist()
             union = np.unique(np.concatenate(own))
             asking = []
             for name, n, t in zip(guests.column("v_class").to_pylist(), guests.column("v_n").to_pylist(), guests.column("v_tokens")):
-                t = np.frombuffer(t.as_py(), "<u8")
+                t = _unpacked(t.as_py())
                 at = np.minimum(np.searchsorted(union, t), len(union) - 1)
                 at = at[union[at] == t]
                 if len(at) * 100 >= THRESHOLD * n:  # the bound: no member can have more of it than the union
@@ -322,11 +347,10 @@ def jaccard_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     found = stored(classes_of(docs, words), "jaccard_classes")
-    able = stored(able_classes(docs, words), "jaccard_able")
-    prefixes = stored(able.select("class", "n", "own", F.explode("prefix").alias("token")), "jaccard_prefixes")
+    able = stored(able_classes(docs, found, words), "jaccard_able")
+    prefixes = stored(able.select("class", "n", "shared", F.explode("prefix").alias("token")), "jaccard_prefixes")
     led = stored(led_links(able, prefixes), "jaccard_led")
-    plain = able.select(F.col("class").alias("leader"), (F.col("own") / F.col("n")).alias("share"))
-    chosen = led.join(plain, "leader").groupBy("a").agg(F.min(F.struct("share", "leader")).alias("best")).select(F.col("a").alias("class"), F.col("best.leader").alias("leader"))
+    chosen = led.select(F.col("a").alias("class"), "leader")
     # a leader stays with its own group, wherever it is led itself
     leads = chosen.select(F.col("leader").alias("class")).distinct().withColumn("leads", F.lit(True))
     groups = able.select("class").join(chosen, "class", "left").join(leads, "class", "left")
