@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import SPACES, stored, whole_text
+from lexweave.llm.common import stored, whole_text
 
 DIMENSIONS = ("source", "lang", "topic")
 TEMPER = 0.7  # default targets: shares to this power, so large groups give way to small ones
@@ -32,12 +32,12 @@ def n_words(text: str = "text") -> Column:
 
 def topic(text: str = "text") -> Column:
     """Stand-in for a topic column: the register of the whole text, by its letters and length."""
-    body, words = F.translate(whole_text(text), SPACES, ""), n_words(text)
-    symbols = F.length(F.regexp_replace(body, r"[\p{L}\p{N}.,]", ""))
+    whole, words = whole_text(text), n_words(text)
+    symbols = F.length(F.regexp_replace(whole, r"[\p{L}\p{N}.,\s]+", ""))  # runs, not characters: few matches a text
     return (
         F.when(words == 0, "empty")
-        .when(symbols * 8 > F.length(body), "symbolic")
-        .when((body == F.upper(body)) & (body != F.lower(body)), "capitals")
+        .when(symbols * 8 > F.length(whole), "symbolic")
+        .when(~whole.rlike(r"\p{Ll}") & whole.rlike(r"\p{Lu}"), "capitals")
         .when(words < 100, "note")
         .when(words < 1000, "article")
         .otherwise("long")
@@ -70,22 +70,21 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
         named = targets[d].select(F.col("value").alias(d), F.col("share").alias(f"t_{d}"))
         table = table.join(named, d, "left").fillna({f"t_{d}": 0.0})
     table = stored(table.withColumn("share", F.col("mass")), "mix_cells")
-    scale = table.groupBy().agg(*[F.lit(1.0)]).first()
-    if scale is None:
+    if table.isEmpty():
         return table
     totals = {}
     for d in DIMENSIONS:
         totals[d] = table.groupBy(d).agg(F.first(f"t_{d}").alias("t")).agg(F.sum("t")).first()[0] or 1.0
+    goal = {d: F.col(f"t_{d}") / F.lit(totals[d]) for d in DIMENSIONS}
     for _ in range(rounds):
         for _ in range(SWEEPS):
             for d in DIMENSIONS:
                 own = F.sum("share").over(Window.partitionBy(d))
-                table = table.withColumn("share", F.when(own > 0, F.col("share") * F.col(f"t_{d}") / F.lit(totals[d]) / own).otherwise(0.0))
-        table = stored(table, "mix_round")
-        away = 0.0
-        for d in DIMENSIONS:
-            gap = F.abs(F.sum("share") - F.first(f"t_{d}") / F.lit(totals[d])) / F.greatest(F.first(f"t_{d}") / F.lit(totals[d]), F.lit(1e-12))
-            away = max(away, table.groupBy(d).agg(gap.alias("gap")).agg(F.max("gap")).first()[0] or 0.0)
+                table = table.withColumn("share", F.when(own > 0, F.col("share") * goal[d] / own).otherwise(0.0))
+        gaps = {f"gap_{d}": F.abs(F.sum("share").over(Window.partitionBy(d)) - goal[d]) / F.greatest(goal[d], F.lit(1e-12)) for d in DIMENSIONS[:-1]}
+        table = stored(table.withColumns(gaps), "mix_round")  # the last dimension was met just now
+        away = table.agg(F.max(F.greatest(*gaps))).first()[0] or 0.0
+        table = table.drop(*gaps)
         if away <= tolerance:
             break
     return table
