@@ -183,9 +183,10 @@ def _step(model, x, h):
 
 
 def _softmax(v):
-    v = v - v.max(axis=1, keepdims=True)
+    """Over rows, in place."""
+    v -= v.max(axis=1, keepdims=True)
     np.exp(v, out=v)
-    v /= v.sum(axis=1, keepdims=True)
+    v /= (v @ np.ones(v.shape[1], v.dtype))[:, None]
     return v
 
 
@@ -283,38 +284,37 @@ class Trainer:
             self.model[name][rows] -= self.rate * grad / np.sqrt(self.seen[name][rows])
 
     def documents(self, symbols, lengths, end_symbol: int) -> float:
-        """One pass; returns the mean log10 probability before each update."""
-        target, source, _, size = _table(symbols, lengths, LANES)
+        """One pass over every symbol; returns the mean log10 probability before each update."""
+        target, source, doc, size = _table(symbols, lengths, LANES)
         h = np.zeros((len(size), HIDDEN), np.float32)
-        total, count = 0.0, 0
+        total = 0.0
         for t0 in range(0, len(target), WINDOW):
             t1 = min(t0 + WINDOW, len(target))
-            k = int(np.searchsorted(-size, -(t1 - 1)))  # lanes that have the whole window
-            if k == 0:
-                break
-            said = self._window(target[t0:t1, :k], source[t0:t1, :k], h[:k], end_symbol)
-            total += said
-            count += (t1 - t0) * k
-        return total / max(count, 1)
-
-    def _window(self, target, source, h, end_symbol) -> float:
+            k = int(np.searchsorted(-size, -t0))  # lanes that still have a step t0
+            total += self._window(target[t0:t1, :k], source[t0:t1, :k], doc[t0:t1, :k] >= 0, h[:k], end_symbol, len(size))
+        return total / max(len(symbols), 1)
+
+    def _window(self, target, source, active, h, end_symbol, lanes) -> float:
+        """One update; steps behind a lane's end are not ``active`` and weigh nothing."""
         m, steps, k = self.model, *target.shape
-        kept, hs = [], []
+        whole, active = bool(active.all()), active.ravel()
+        start = source < 0
+        x = np.where(start, end_symbol, source)
+        kept = []
         for t in range(steps):
-            start = source[t] < 0
-            h[start] = 0
-            x = np.where(start, end_symbol, source[t])
+            h[start[t]] = 0
             before = h.copy()
-            new, z, r, n, an = _step(m, x, before)
+            new, z, r, n, an = _step(m, x[t], before)
             h[:] = new
-            hs.append(new)
-            kept.append((x, start, before, z, r, n, an))
-        states, goal = np.concatenate(hs), target.ravel()
+            kept.append((new, before, z, r, n, an))
+        states, before, z, r, n, an = (np.concatenate(v) for v in zip(*kept))
+        goal = target.ravel()
         cls = np.where(goal < HEAD, goal // WIDTH, HEAD_CLASSES + goal - HEAD)
         rows = np.arange(len(goal))
-        scale = np.float32(1 / k)
+        scale = np.float32(1 / lanes)  # the same for every symbol, however many lanes are left
+        scale = scale if whole else (active * scale)[:, None]
         p = _softmax(states @ m["c"] + m["cb"])
-        said = np.log10(np.maximum(p[rows, cls], 1e-30)).sum()
+        said = (np.log10(np.maximum(p[rows, cls], 1e-30)) * active).sum()
         p[rows, cls] -= 1
         p *= scale
         dh = p @ m["c"].T
@@ -322,38 +322,45 @@ class Trainer:
         self._update("cb", p.sum(axis=0))
         order = np.argsort(cls, kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(HEAD_CLASSES + 1))
+        order = order[: bounds[-1]]  # head words, class by class
+        by_class, word, live = states.take(order, axis=0), goal[order] % WIDTH, active[order]
+        right, back = np.zeros(len(order), np.float32), np.empty_like(by_class)
+        grad_w, grad_wb = np.zeros_like(m["w"]), np.zeros_like(m["wb"])
         for c in np.flatnonzero(np.diff(bounds)).tolist():
-            own = order[bounds[c] : bounds[c + 1]]
-            s = states[own]
+            own = slice(bounds[c], bounds[c + 1])
+            s, at = by_class[own], (np.arange(bounds[c + 1] - bounds[c]), word[own])
             q = _softmax(s @ m["w"][c] + m["wb"][c])
-            w = goal[own] % WIDTH
-            said += np.log10(np.maximum(q[np.arange(len(own)), w], 1e-30)).sum()
-            q[np.arange(len(own)), w] -= 1
-            q *= scale
-            dh[own] += q @ m["w"][c].T
-            self._update("w", s.T @ q, c)
-            self._update("wb", q.sum(axis=0), c)
-        dh = dh.reshape(steps, k, HIDDEN)
-        carry = np.zeros((k, HIDDEN), np.float32)
-        grad_h = np.zeros_like(m["h"])
-        xs, gs = [], []
+            right[own] = q[at]
+            q[at] -= 1
+            q *= scale if whole else scale[order[own]]
+            back[own] = q @ m["w"][c].T
+            grad_w[c], grad_wb[c] = s.T @ q, q.sum(axis=0)
+        said += (np.log10(np.maximum(right, 1e-30)) * live).sum()
+        dh[order] += back
+        self._update("w", grad_w)
+        self._update("wb", grad_wb)
+        # what doesn't depend on the gradient from behind, for all steps at once
+        to_n = (1 - z) * (1 - n * n)
+        to_z = (before - n) * z * (1 - z)
+        to_r = an * r * (1 - r)
+        a, g = np.empty((len(goal), 3 * HIDDEN), np.float32), np.empty((len(goal), HIDDEN), np.float32)
+        carry, back_h = np.zeros((k, HIDDEN), np.float32), np.ascontiguousarray(m["h"].T)
         for t in range(steps - 1, -1, -1):
-            x, start, before, z, r, n, an = kept[t]
-            d = dh[t] + carry
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
-            dr = dn * an * r * (1 - r)
-            g = np.concatenate((dz, dr, dn), axis=1)
-            a = np.concatenate((dz, dr, dn * r), axis=1)
-            grad_h += before.T @ a
-            carry = d * z + a @ m["h"].T
-            carry[start] = 0
-            xs.append(x)
-            gs.append(g)
-        xs, gs = np.concatenate(xs), np.concatenate(gs)
-        order = np.argsort(xs, kind="stable")
-        first = np.flatnonzero(np.diff(xs[order], prepend=-1))
-        self._update("x", np.add.reduceat(gs[order], first, axis=0), xs[order][first])
+            at = slice(t * k, t * k + k)
+            d = dh[at] + carry
+            dn = np.multiply(d, to_n[at], out=g[at])
+            np.multiply(d, to_z[at], out=a[at, :HIDDEN])
+            np.multiply(dn, to_r[at], out=a[at, HIDDEN : 2 * HIDDEN])
+            np.multiply(dn, r[at], out=a[at, 2 * HIDDEN :])
+            carry = a[at] @ back_h
+            carry += d * z[at]
+            carry[start[t]] = 0
+        grad_h = before.T @ a
+        a[:, 2 * HIDDEN :] = g
+        x = x.ravel()
+        order = np.argsort(x, kind="stable")
+        first = np.flatnonzero(np.diff(x[order], prepend=-1))
+        self._update("x", np.add.reduceat(a[order], first, axis=0), x[order][first])
         norm = np.abs(grad_h).max()
         self._update("h", grad_h / max(norm, 1.0))
         return float(said)

@@ -3,9 +3,9 @@
 1. *Counts.* Tasks count the words of their training texts; owners of id ranges add up. The
    result holds every distinct training word and stays distributed. The driver gets the
    ``FREQUENT`` most frequent words and the totals.
-2. *Network.* A start on ``WARM_DOCS`` documents, then every task trains on its own share: a
-   span of one ``SHARE``-th of each training document. The tasks' networks are averaged in
-   groups, weighted by tokens.
+2. *Network.* A start on ``WARM_DOCS`` documents, then every task trains on every token of its
+   training documents, state carried from each document's start to its end. The tasks' networks
+   are averaged in groups, weighted by tokens.
 3. *Scores.* One pass runs the network over every text, state carried to the text's end. What
    needs the count of a word that isn't frequent goes to the word's owner, which answers with
    sums per document.
@@ -23,8 +23,6 @@ from lexweave.llm.language_model import TAILS, Vocabulary
 
 FREQUENT = 1 << 17  # words whose counts every task knows
 WARM_DOCS = 400  # documents of the first start, those of the smallest id hashes
-SHARE = 16  # tasks train on a span of 1/SHARE of each training document
-LEAST_SPAN = 16  # symbols of a span at least
 HOLD = 1_200_000  # tokens that a task handles at once
 FAN_IN = 16  # networks that are averaged at once
 
@@ -120,16 +118,6 @@ def _vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary.of(ids[best], n[best], tokens, words)
 
 
-def _spans(symbols, lengths, share: int):
-    """A span of each document, its place spread over documents."""
-    import numpy as np
-
-    first = np.cumsum(lengths) - lengths
-    size = np.minimum(lengths, np.maximum(LEAST_SPAN, lengths // share))
-    start = first + (np.arange(len(lengths)) * 7919) % (lengths - size + 1)
-    return np.concatenate([symbols[a : a + k] for a, k in zip(start, size)]), size
-
-
 def _as_bytes(network: dict) -> bytes:
     import io
 
@@ -177,7 +165,7 @@ def _warm_network(train: DataFrame, vocabulary: Vocabulary, docs: int) -> dict:
     return network
 
 
-def learn(train: DataFrame, warm_docs: int = WARM_DOCS, share: int = SHARE) -> LanguageModel:
+def learn(train: DataFrame, warm_docs: int = WARM_DOCS) -> LanguageModel:
     """Counts of all of ``train`` and a network fitted to it. ``train``: doc_id, text (null: empty)."""
     spark = train.sparkSession
     owners = 2 * shuffle_partitions(spark)
@@ -195,9 +183,8 @@ def learn(train: DataFrame, warm_docs: int = WARM_DOCS, share: int = SHARE) -> L
         trainer = Trainer(network, seen=1.0)
         for held in _groups(batches, 0):
             ids, lengths = word_ids([t for _, t in held])
-            symbols, sizes = _spans(vocabulary.look_up(ids)[1], lengths, share)
-            trainer.documents(symbols, sizes, end)
-            tokens += int(sizes.sum())
+            trainer.documents(vocabulary.look_up(ids)[1], lengths, end)
+            tokens += len(ids)
         if tokens:
             yield pa.record_batch([pa.array([_as_bytes(network)], pa.binary()), pa.array([tokens], pa.int64())], names=["network", "tokens"])
 

@@ -228,6 +228,33 @@ def test_lm(spark, docs, rows):
     assert score(docs.limit(0), model).count() == 0 and score(docs, learn(docs.limit(0))).count() == len(rows)
 
 
+def test_lm_trains_on_every_token(spark):
+    from lexweave.llm import language_model as L
+    from lexweave.llm.lm_scoring import learn
+
+    texts = [" ".join(f"w{d}x{i}" for i in range(n)) for d, n in enumerate((700, 90, 3))]
+    model = learn(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), warm_docs=0)
+    ids = L.word_ids([t.encode() for t in texts])[0]
+    symbols = np.unique(model.vocabulary.look_up(ids)[1])
+    assert len(symbols) == 700 + 90 + 3 + 1
+    changed = (model.network["x"] != L.new_model()["x"]).any(axis=1)
+    assert np.flatnonzero(changed).tolist() == symbols.tolist()
+
+
+def test_trainer_uses_last_steps_and_carries_state(monkeypatch):
+    from lexweave.llm import language_model as L
+
+    lengths = np.array([100, 37, 5, 1])
+    symbols = np.random.default_rng(2).integers(0, L.SYMBOLS, lengths.sum())
+    model = L.new_model(3)
+    L.seeded_biases(model, 1e6 / np.arange(1, L.SYMBOLS + 1))  # symbols differ much
+    want = L.score_documents(model, symbols, lengths, 7).sum() / lengths.sum()
+    monkeypatch.setattr(L.Trainer, "_update", lambda *a: None)
+    for lanes in (1, 3, 64):  # without updates, the mean is what scoring says of all symbols
+        monkeypatch.setattr(L, "LANES", lanes)
+        assert L.Trainer(model).documents(symbols, lengths, 7) == pytest.approx(want, rel=1e-4)
+
+
 def test_network_sums_to_one_and_carries_state():
     from lexweave.llm import language_model as L
 
