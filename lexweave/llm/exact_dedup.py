@@ -124,15 +124,8 @@ def build_index(docs: DataFrame, keys: DataFrame, capacity: int) -> DataFrame:
     return spark.read.schema(placed.schema).parquet(path)
 
 
-def exact_duplicates(docs: DataFrame, capacity: int = 4096) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when identical without white space. Of equals the row with the most code
-    points stays, then the smallest doc_id. Null texts count as empty (all empties are one
-    group); a null doc_id never wins against a real one; repeated (doc_id, text) rows are rows
-    of one group, and each of them that ties with the winner says ``kept``; an empty table gives
-    an empty result. Other columns are ignored.
-    """
+def _found(docs: DataFrame, capacity: int) -> DataFrame:
+    """The stored keys of all documents, with their group's size and winning rank, and whether they have it."""
     text = normalised()
     docs = docs.select("doc_id", "text")
     keys = stored(
@@ -144,13 +137,24 @@ def exact_duplicates(docs: DataFrame, capacity: int = 4096) -> DataFrame:
     index = build_index(docs, keys, capacity)
     entries = index.select("key", F.explode("chain").alias("c")).where("c.size > 1")
     entries = entries.select("key", F.unhex("c.sha").alias("sha"), F.col("c.size").alias("size"), F.col("c.best").alias("best"))
-    found = keys.join(entries, ["key", "sha"], "left")
     mine = _rank(F.col("n_chars"), F.col("doc_id"))
-    return found.select(
+    return keys.join(entries, ["key", "sha"], "left").withColumn("kept", F.col("size").isNull() | (F.col("best") == mine))
+
+
+def exact_duplicates(docs: DataFrame, capacity: int = 4096) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical without white space. Of equals the row with the most code
+    points stays, then the smallest doc_id. Null texts count as empty (all empties are one
+    group); a null doc_id never wins against a real one; repeated (doc_id, text) rows are rows
+    of one group, and each of them that ties with the winner says ``kept``; an empty table gives
+    an empty result. Other columns are ignored.
+    """
+    return _found(docs, capacity).select(
         "doc_id",
         F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(_id_of(F.col("best"))).alias("keep_id"),
         F.coalesce("size", F.lit(1).cast("bigint")).alias("group_size"),
-        (F.col("size").isNull() | (F.col("best") == mine)).alias("kept"),
+        "kept",
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
@@ -158,10 +162,16 @@ def exact_duplicates(docs: DataFrame, capacity: int = 4096) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame, capacity: int = 4096) -> DataFrame:
     """The documents that stay, one per group, with all their columns.
 
-    Rows that repeat a doc_id and tie for their group's place stay once.
+    A row is known by doc_id (null is a value), text hash and length together, so different texts
+    under one id all stay. Rows of one group that tie for its place stay once.
     """
-    kept = exact_duplicates(docs, capacity).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    kept = stored(kept, "exact_kept")
-    repeated = not kept.where("rows > 1").isEmpty()
-    out = docs.join(kept.select(F.col("doc_id").alias("_kept_id")), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    same = ["doc_id", "sha", "n_chars"]
+    kept = stored(_found(docs, capacity).where("kept").groupBy(same).agg(F.count(F.lit(1)).alias("rows")), "exact_kept")
+    kept = kept.select(*[F.col(c).alias(f"_kept_{c}") for c in same], F.col("rows").alias("_rows"))
+    mine = docs.withColumns({"_sha": F.unhex(F.sha2(normalised(), 256)), "_n_chars": F.length(whole_text())})
+    match = F.col("doc_id").eqNullSafe(F.col("_kept_doc_id")) & (F.col("_sha") == F.col("_kept_sha")) & (F.col("_n_chars") == F.col("_kept_n_chars"))
+    out = mine.join(kept, match)
+    once = out.where("_rows = 1").select(docs.columns)
+    if kept.where("_rows > 1").isEmpty():
+        return once
+    return once.unionByName(out.where("_rows > 1").dropDuplicates(["doc_id", "_sha"]).select(docs.columns))

@@ -71,6 +71,19 @@ def test_exact_dedup(spark, docs, rows):
     assert exact_duplicates(docs.limit(0)).count() == 0
 
 
+def test_exact_dedup_null_and_repeated_ids(spark):
+    from lexweave.llm.exact_dedup import drop_exact_duplicates
+
+    rows = [
+        (None, "one text"), (None, "two texts"), (None, "two texts"), (None, None),  # null ids: three groups
+        (5, "three texts"), (5, "four texts"), (5, "four  texts"),  # one id: the longer copy of two
+        (6, "five"), (7, "five"), (7, "six"),  # 7 stays for "six" only
+    ]
+    got = drop_exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, "one text"), (None, "two texts"), (None, None), (5, "three texts"), (5, "four  texts"), (6, "five"), (7, "six")]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_directory_splits(spark):
     from lexweave.llm.exact_dedup import directory
 
