@@ -28,7 +28,8 @@ BLOCK_TAGS = frozenset(
     " table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT_TAGS = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|title|textarea|noframes"
+SILENT_TAGS = frozenset("script style noscript template svg iframe object canvas audio video title textarea noframes annotation annotation-xml".split())
+RAW_TAGS = frozenset("script style title textarea".split())  # of these, what runs to the end of the page unless an end tag comes
 #: An element of the key is closed by the start of one of these.
 CLOSED_BY = {
     "p": BLOCK_TAGS - {"html", "body", "head", "button", "option", "optgroup", "caption", "legend", "summary", "td", "th", "tr", "tbody", "thead", "tfoot", "dd", "dt", "li"} | {"li", "dd", "dt", "td", "th", "tr"},
@@ -41,47 +42,47 @@ AGAINST = frozenset(
     " gdpr notice alert notification popup modal overlay newsletter subscribe subscription signup login register share sharing social"
     " related recommended recommendations trending popular nav navbar navigation menu menus menubar breadcrumb breadcrumbs sidebar aside"
     " widget widgets footer foot header masthead topbar toolbar copyright legal disclaimer privacy pagination pager search form"
-    " comment comments commentlist discussion disqus reply replies respond feedback reactions tags skip hidden hide print contentinfo complementary".split()
+    " comment comments commentlist discussion disqus reply replies respond feedback reactions skip hidden hide contentinfo complementary".split()
 )
 FOR = frozenset("article content post entry story body text main prose maintext articlebody".split())
-
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SILENT_TAGS})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S | re.I,
+#: Parts of a compound name that make it say something of state or layout, and nothing of what is inside.
+STATE = frozenset(
+    "has have with without no not non is are in on off at open opened close closed show shown visible active enabled disabled loaded ready"
+    " fixed sticky left right top bottom wide full width height collapsed expanded single page layout col cols column columns grid row container wrap wrapper".split()
 )
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+END_TAG = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in SILENT_TAGS}
+NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 STOP = re.compile(r"[.!?…。！？][\"'”’)\]]*(?:\s|$)")
 
 TRAINING_PAGES = 240
-ADJACENT, SAME_PARENT = 1.2, 0.5  # smoothness at distance 0; over (1 + distance)
+ADJACENT, SAME_PARENT = 1.2, 1.5  # smoothness at distance 0; over (1 + distance)
 SCALE = 10_000  # capacities are whole numbers
 FEATURES = (
-    "bias", "length", "sentences", "links", "paragraph", "heading", "item", "cell", "article", "main", "nav", "header", "footer",
+    "bias", "length", "sentences", "links", "paragraph", "heading", "item", "cell", "article", "main", "chosen", "nav", "header", "footer",
     "aside", "form", "against", "for", "hidden", "short", "control",
 )
 RESULT = "page_id bigint, url string, text string, n_chars bigint, n_blocks bigint, n_content bigint"
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "flags", "against", "good", "hidden")
+    __slots__ = ("tag", "parent", "depth", "flags", "against", "good", "hidden", "block", "wraps")
 
     def __init__(self, tag, parent, attrs):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
-        self.flags = parent.flags if parent else frozenset()
-        self.against, self.good, self.hidden = (parent.against, parent.good, parent.hidden) if parent else (0, 0, False)
+        self.flags, self.hidden, self.block = (parent.flags, parent.hidden, parent.block) if parent else (frozenset(), False, self)
+        self.against, self.good, self.wraps = frozenset(), 0, False
+        if tag in BLOCK_TAGS:
+            self.block = self
         if tag in ("article", "main", "nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "figure"):
             self.flags = self.flags | {tag}
         if attrs:
-            found = NAMES.findall(attrs)
-            if found:
-                words = {w.lower() for m in found for w in NAME_WORD.findall(m[0] or m[1] or m[2])}
-                if tag not in ("html", "body"):
-                    self.against += len(words & AGAINST)
-                    self.good += len(words & FOR)
+            if tag not in ("html", "body"):
+                self.against, self.good = spoken(attrs)
             self.hidden = self.hidden or bool(HIDDEN.search(attrs))
 
 
@@ -92,10 +93,89 @@ class Block:
         self.node, self.parts, self.linked, self.text = node, [], 0, ""
 
 
+def spoken(attrs: str) -> tuple[frozenset, int]:
+    """(words against content, number of words for it) in the class, id and role of an element.
+
+    A name counts whole. A compound name (``cookie-notice``, ``siteFooter``) counts by its parts,
+    unless one of them makes it a state or a layout (``has-sidebar``, ``modal-open``).
+    """
+    against, good = set(), set()
+    for m in NAMES.findall(attrs):
+        for name in (m[0] or m[1] or m[2]).split():
+            parts = [w.lower() for w in NAME_PART.findall(name)]
+            if len(parts) > 1 and not STATE.isdisjoint(parts):
+                continue
+            against.update(AGAINST.intersection(parts))
+            good.update(FOR.intersection(parts))
+    return frozenset(against), len(good)
+
+
+def tokens_of(page: str):
+    """(text, tag, closing, attributes) in turn; the text comes before the tag, the last tag is empty.
+
+    One pass: no part of the page is looked at more than a fixed number of times. A quote opens a
+    value only behind an equals sign; one that is never closed is a plain character.
+    """
+    at, begin, size = 0, 0, len(page)
+    unclosed = {}  # from here on, these never come again
+
+    def find(what, start):
+        if unclosed.get(what, size + 1) <= start:
+            return -1
+        place = page.find(what, start)
+        if place < 0:
+            unclosed[what] = min(start, unclosed.get(what, size + 1))
+        return place
+
+    while (at := find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = find("-->", at + 2)
+            yield page[begin:at], "", False, ""
+            at = begin = end + 3 if end >= 0 else size
+            continue
+        if page[at + 1 : at + 2] in ("!", "?"):
+            end = find(">", at)
+            yield page[begin:at], "", False, ""
+            at = begin = end + 1 if end >= 0 else size
+            continue
+        m = TAG.match(page, at)
+        if not m:
+            at += 1
+            continue
+        pos = m.end()
+        while True:
+            end, equals = find(">", pos), find("=", pos)
+            if end < 0 or equals < 0 or equals > end:
+                break
+            pos = equals + 1
+            while pos < size and page[pos].isspace():
+                pos += 1
+            if page[pos : pos + 1] in ('"', "'"):
+                shut = find(page[pos], pos + 1)
+                pos = shut + 1 if shut >= 0 else pos + 1
+        if end < 0:
+            at = m.end()  # never closed: text
+            continue
+        closing, tag, attrs = bool(m[1]), m[2].lower(), page[m.end() : end]
+        yield page[begin:at], tag, closing, attrs
+        at = begin = end + 1
+        if tag in SILENT_TAGS and not closing and not (attrs.endswith("/") and tag not in RAW_TAGS):
+            over = None if tag in unclosed else END_TAG[tag].search(page, at)
+            if over:
+                at = begin = over.end()
+            elif tag in RAW_TAGS:
+                at = begin = size
+            else:
+                unclosed[tag] = at  # what follows is page
+    yield page[begin:], "", False, ""
+
+
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order; markup, comments, scripts and the like leave nothing."""
     root = Node("html", None, "")
-    stack, out, current, links, at = [root], [], None, 0, 0
+    stack, out, current, links = [root], [], None, 0
+    opened = {"html": 1}
+    articles, titles = [], []
 
     def end():
         nonlocal current
@@ -105,41 +185,40 @@ def blocks_of(page: str) -> list[Block]:
                 out.append(current)
             current = None
 
-    def say(raw):
-        nonlocal current
-        if raw:
+    def cut(i):
+        for n in stack[i:]:
+            opened[n.tag] -= 1
+        del stack[i:]
+
+    for raw, tag, closing, attrs in tokens_of(page):
+        if raw and (current is not None or not raw.isspace()):
             if current is None:
-                if raw.isspace():
-                    return
-                current = Block(next(n for n in reversed(stack) if n.tag in BLOCK_TAGS))
+                current = Block(stack[-1].block)
             text = html_entities.unescape(raw) if "&" in raw else raw
             current.parts.append(text)
             if links:
                 current.linked += len(text)
-
-    for m in TOKEN.finditer(page):
-        say(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or m[6] or "").lower()
         if not tag:
             continue
-        closing, attrs = bool(m[2] or m[5]), m[4] or m[7] or ""
         if tag == "br":
             if current is not None:
                 current.parts.append(" ")
             continue
+        if tag in SILENT_TAGS:
+            continue
         if tag in BLOCK_TAGS:
             end()
             links = 0
         if closing:
             if tag == "a":
                 links = 0
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCK_TAGS and stack[i].tag in BLOCK_TAGS:
-                    break  # a stray inline end tag doesn't close blocks
+            if opened.get(tag):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        cut(i)
+                        break
+                    if tag not in BLOCK_TAGS and stack[i].tag in BLOCK_TAGS:
+                        break  # a stray inline end tag doesn't close blocks
             continue
         if tag == "a":
             links = 1
@@ -148,24 +227,67 @@ def blocks_of(page: str) -> list[Block]:
         if tag in BLOCK_TAGS:
             for i in range(len(stack) - 1, 0, -1):
                 if tag in CLOSED_BY.get(stack[i].tag, ()):
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i].tag in BLOCK_TAGS:
                     break
-            stack.append(Node(tag, stack[-1], attrs))
-        elif attrs or tag == "span":
-            stack.append(Node(tag, stack[-1], attrs))
-        else:
-            stack.append(Node(tag, stack[-1], ""))
-    say(page[at:])
+        node = Node(tag, stack[-1], attrs)
+        stack.append(node)
+        opened[tag] = opened.get(tag, 0) + 1
+        if tag in ("article", "main"):
+            articles.append(node)
+        elif tag == "h1":
+            titles.append(node)
     end()
+    _choose(out, articles, titles)
     return out
 
 
+def _choose(blocks: list[Block], articles: list[Node], titles: list[Node]) -> None:
+    """Marks what wraps the main article: names of these elements tell of the page, and not of what is inside.
+
+    The main article is the article, or else main, element with the most sentences; without
+    either, the element around the first h1. What its own h1 stands in wraps it, too.
+    """
+    said: dict = {}
+    for b in blocks:
+        n = len(b.text) if STOP.search(b.text) else 0
+        node = b.node
+        while n and node is not None:
+            if node.tag in ("article", "main"):
+                said[id(node)] = said.get(id(node), 0) + n
+            node = node.parent
+    best = None
+    for kind in ("article", "main"):
+        known = [a for a in articles if a.tag == kind and not a.hidden and not a.against - {"form", "search"}] or [a for a in articles if a.tag == kind and not a.hidden]
+        known = [a for a in known if not a.flags & {"aside", "nav", "footer"}] or known
+        if known and best is None:
+            best = max(known, key=lambda a: said.get(id(a), 0))
+    if best is not None:
+        titles = [t for t in titles if _within(t, best)]
+    plain = [t for t in titles if not t.flags & {"header", "nav", "aside", "footer", "form"} and not t.hidden] or titles
+    for node in (best, plain[0].parent if plain else None):
+        while node is not None:
+            node.wraps = True
+            node = node.parent
+
+
+def _within(node: Node, outer: Node) -> bool:
+    while node.depth > outer.depth:
+        node = node.parent
+    return node is outer
+
+
 def features(b: Block) -> list[float]:
     n, node, text = len(b.text), b.node, b.text
     f = node.flags
     inside = "article" in f
+    against, good, own = set(), 0, node
+    while own is not None and not own.wraps:
+        against |= own.against
+        good += own.good
+        own = own.parent
+    chosen = own is not None and own.tag not in ("html", "body")
     return [
         1.0,
         min(math.log1p(n) / 5, 1.6),
@@ -177,13 +299,14 @@ def features(b: Block) -> list[float]:
         float(node.tag in ("td", "th", "caption")),
         float(inside),
         float("main" in f),
+        float(chosen),
         float("nav" in f or "menu" in f),
         float("header" in f and not inside),
         float("footer" in f),
         float("aside" in f),
         float("form" in f or "dialog" in f),
-        float(min(node.against, 2)),
-        float(min(node.good, 2)),
+        float(min(len(against), 2)),
+        float(min(good, 2)),
         float(node.hidden),
         float(n < 30),
         float("button" in f or "select" in f or node.tag in ("label", "legend", "option", "fieldset")),
@@ -245,10 +368,11 @@ def _made_up_page(rng: random.Random) -> str:
     inside = rng.random() < 0.25
     article += box if inside else ""
     shape = rng.random()
+    named = f" class='{rng.choice(['post print', 'entry', 'story comment-open', 'post related', 'hentry notice', 'content'])}'" if rng.random() < 0.3 else ""
     if shape < 0.45:
-        article = f"<article>{article}</article>"
+        article = f"<article{named}>{article}</article>"
     elif shape < 0.6:
-        article = f"<main>{article}</main>"
+        article = f"<main{named}>{article}</main>"
     else:
         article = f"<div class='{rng.choice(['content', 'post', 'entry-content', 'wrap', 'col', 'story', 'c1'])}'>{article}</div>"
     before = [around(["nav", "menu", "navbar", "topbar"], "nav", rng.randint(2, 7))] if rng.random() < 0.9 else []
@@ -262,7 +386,15 @@ def _made_up_page(rng: random.Random) -> str:
     if rng.random() < 0.4:
         after.append(f"<form><label>{words(1, 'x')}</label><p>{sentences(1, 'x')}</p><button>{words(1, 'x')}</button></form>")
     after.append(wrap("footer", ["footer", "copyright", "legal"], f"<p>&copy; {words(2, 'x')} {sentences(rng.randint(0, 2), 'x')}</p>"))
-    return f"<html><body>{''.join(before)}{article}{''.join(after)}</body></html>"
+    if rng.random() < 0.15:  # teasers are articles too
+        after.append("<aside class='related'>" + "".join(f"<article><h2>{words(3, 'x')}</h2><p>{sentences(1, 'x')}</p></article>" for _ in range(rng.randint(1, 4))) + "</aside>")
+    parts = [*before, article, *after]
+    if rng.random() < 0.5:  # an everyday wrapper, around the article alone or around all
+        names = "page has-sidebar|layout with-header|search page|main-wrap modal-open|site related|widget page|form-layout|promo|story"
+        first = len(before) if rng.random() < 0.5 else 0
+        last = len(before) + 1 if first else len(parts)
+        parts[first:last] = [f"<div class='{rng.choice(names.split('|'))}'>", *parts[first:last], "</div>"]
+    return f"<html><body>{''.join(parts)}</body></html>"
 
 
 def train(pages: int = TRAINING_PAGES, seed: int = 7) -> list[float]:
@@ -292,17 +424,14 @@ def _distance(a: Node, b: Node) -> int:
 
 
 def smoothness(blocks: list[Block]) -> list[tuple[int, int, int]]:
-    """Edges (i, j, capacity): each block with the next one, and with the next under the same parent."""
+    """Edges (i, j, capacity): each block with the next one, and with the next under the same parent; weaker with distance in the tree."""
     edges, last = [], {}
     for i, b in enumerate(blocks):
         if i:
-            c = int(SCALE * ADJACENT / (1 + _distance(blocks[i - 1].node, b.node)))
-            edges.append((i - 1, i, c))
+            edges.append((i - 1, i, int(SCALE * ADJACENT / (1 + _distance(blocks[i - 1].node, b.node)))))
         j = last.get(id(b.node.parent))
-        if j is not None and j < i - 1:
-            edges.append((j, i, int(SCALE * SAME_PARENT)))
-        elif j is not None:
-            edges.append((j, i, int(SCALE * SAME_PARENT)))
+        if j is not None:
+            edges.append((j, i, int(SCALE * SAME_PARENT / (1 + _distance(blocks[j].node, b.node)))))
         last[id(b.node.parent)] = i
     return edges
 
