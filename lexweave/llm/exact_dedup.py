@@ -3,16 +3,19 @@
 Four steps, all DataFrame expressions:
 
 1. **Keys.** Every document gets the 64-bit hash of its text without white space, the SHA-256
-   of the same, and its rank inside a group of equals. The narrow key table goes to the
-   shared folder, so later steps never re-read texts for it.
-2. **Directory.** Slots (distinct hashes) are counted by hash prefix. A bucket that holds more
-   slots than ``capacity`` is split by doubling its address space: one more bit of the hash,
-   again and again until no bucket is overfull. Every round looks at overfull buckets only.
-3. **Index.** Owner tasks take the key ranges that the directory names. Texts with one hash
-   meet there and their *bytes* are compared (the grouping key is the text itself, combined
-   before the shuffle, so a group of copies arrives once per task). Different texts under one
-   hash form that slot's collision chain. Slots are written to shared files, ordered by key.
-4. **Probe.** Each document looks up its slot and walks the chain to its own text.
+   of the same, its length and its id. This narrow table goes to the shared folder. A *slot* is
+   a distinct hash.
+2. **Directory.** Slots are counted by hash prefix. A bucket that holds more slots than
+   ``capacity`` is split by doubling its address space: one more bit of the hash, again and
+   again until no bucket is overfull. Every round looks at overfull buckets only. A look-up
+   finds the bucket of a hash through the directory's root, the first bits that all buckets share,
+   and the page of buckets below it.
+3. **Index.** Only texts of slots with several rows move. Equal texts are combined in each task
+   before they are dealt, so copies arrive once per task; then the text goes to the task that
+   owns its bucket. The owner compares the bytes of all texts of a slot: different ones form the
+   slot's collision chain. Each bucket becomes a folder ``bits=../prefix=..`` of the index.
+4. **Probe.** Each document is routed to its bucket, looks up its slot and walks the chain to
+   its own text.
 """
 
 from __future__ import annotations
@@ -22,11 +25,12 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import SPACES, fresh_path, shuffle_partitions, stored, whole_text
+from lexweave.llm.common import SPACES, fresh_path, settle, shuffle_partitions, stored, whole_text, with_member
 
 FIRST_BITS = 4
 DOUBLINGS = 8  # bits that one directory round may add
 MAX_BITS = 48
+CAPACITY = 1 << 14  # slots of a bucket; a bucket is a folder of files, so raise it where slots go into billions
 NULL_ID = Decimal(1 << 63)  # ranks behind every real id
 STEP = Decimal(10**20)  # between two text lengths in a rank
 
@@ -90,58 +94,72 @@ def directory(slots: DataFrame, capacity: int) -> DataFrame:
         bits = last + 1
 
 
-def _owner(key: Column, n: int) -> Column:
-    """Owners take equal ranges of the key space, in key order."""
-    return F.floor(F.shiftrightunsigned(key, 32) * F.lit(n) / F.lit(float(1 << 32))).cast("int")
+def routed(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``rows`` (with ``key``) and the ``bits`` and ``prefix`` of the bucket that the directory names for each."""
+    root = buckets.agg(F.min("bits")).first()[0] or FIRST_BITS
+    pages = buckets.groupBy(F.call_function("shiftrightunsigned", "prefix", F.col("bits") - root).alias("cell")).agg(
+        F.collect_list(F.struct("bits", "prefix")).alias("page")  # buckets below one address of the root
+    )
+    own = F.filter("page", lambda b: F.call_function("shiftrightunsigned", F.col("key"), F.lit(64) - b["bits"]) == b["prefix"])
+    found = rows.withColumn("cell", _prefix(F.col("key"), root)).join(pages, "cell").withColumn("bucket", F.get(own, 0))
+    return found.select(*rows.columns, "bucket.bits", "bucket.prefix")
+
+
+def key_of(text: Column, key_bits: int = 64) -> Column:
+    """The slot of a normalised text. Fewer than 64 bits make texts collide; for tests."""
+    if not key_bits:
+        return F.lit(0).cast("bigint")
+    return F.shiftleft(F.xxhash64(text), 64 - key_bits) if key_bits < 64 else F.xxhash64(text)
+
 
+def build_index(docs: DataFrame, keys: DataFrame, capacity: int, key_bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(index, directory). The index as read from its shared files: key, rows, chain, bits, prefix.
 
-def build_index(docs: DataFrame, keys: DataFrame, capacity: int) -> DataFrame:
-    """The index, read back from its shared files: key, bits, prefix and the chain of different texts."""
+    ``chain`` has an element (sha, size, best) for each different text of the slot.
+    """
     spark = docs.sparkSession
-    slots = keys.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    ranks = keys.select("key", "sha", _rank(F.col("n_chars"), F.col("doc_id")).alias("rank"))
+    slots = ranks.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max("rank").alias("best"), F.max("sha").alias("sha"))
+    slots = stored(slots, "exact_slots")
     buckets = stored(directory(slots.select("key"), capacity), "directory")
-    # the bytes are compared here: equal hash and equal text, combined in each task before the shuffle
+    alone = slots.where("rows = 1").select("key", "rows", F.array(F.struct("sha", F.col("rows").alias("size"), "best")).alias("chain"))
     text = normalised()
-    pages = (
-        docs.select(F.xxhash64(text).alias("key"), text.alias("body"), F.length(whole_text()).alias("n_chars"), "doc_id")
-        .groupBy("key", "body")
-        .agg(F.count(F.lit(1)).alias("size"), F.max(_rank(F.col("n_chars"), F.col("doc_id"))).alias("best"))
-        .select("key", F.sha2("body", 256).alias("sha"), "size", "best")
-    )
-    owners = shuffle_partitions(spark) * 4
-    chains = pages.groupBy("key").agg(F.collect_list(F.struct("sha", "size", "best")).alias("chain"))
-    depths = [r[0] for r in buckets.select("bits").distinct().collect()] or [FIRST_BITS]  # at most MAX_BITS numbers
-    address = F.array(*[F.struct(F.lit(b).alias("bits"), _prefix(F.col("key"), b).alias("prefix")) for b in sorted(depths)])
-    placed = (
-        chains.select("key", "chain", F.explode(address).alias("a")).select("key", "chain", "a.bits", "a.prefix")
-        .join(buckets.select("bits", "prefix"), ["bits", "prefix"])
-    )
+    bodies = docs.select(key_of(text, key_bits).alias("key"), text.alias("body"), _rank(F.length(whole_text()), F.col("doc_id")).alias("rank"))
+    bodies = with_member(bodies, F.col("key"), slots.where("rows > 1").select("key"), "several").where("several")
+    copies = bodies.groupBy("key", "body").agg(F.count(F.lit(1)).alias("size"), F.max("rank").alias("best"))
+    # owners: a bucket's texts meet in one task, which compares them byte by byte (the grouping key is the text)
+    owned = routed(copies, buckets).repartition(shuffle_partitions(spark), "bits", "prefix")
+    texts = owned.groupBy("bits", "prefix", "key", "body").agg(F.sum("size").alias("size"), F.max("best").alias("best"))
+    chains = texts.groupBy("bits", "prefix", "key").agg(
+        F.sum("size").alias("rows"), F.collect_list(F.struct(F.unhex(F.sha2("body", 256)).alias("sha"), "size", "best")).alias("chain")
+    ).where("rows > 1")  # the others are slots of one row that the filter let through
+    columns = ["key", "rows", "chain", "bits", "prefix"]
+    whole = routed(alone, buckets).select(columns).unionByName(chains.select(columns))
     path = fresh_path(spark, "exact_index")
     (
-        placed.repartition(shuffle_partitions(spark), _owner(F.col("key"), owners))
-        .sortWithinPartitions("key").write.parquet(path)
-    )
-    return spark.read.schema(placed.schema).parquet(path)
+        whole.repartition(shuffle_partitions(spark), "bits", "prefix").sortWithinPartitions("bits", "prefix", "key")
+        .write.partitionBy("bits", "prefix").parquet(path)
+    )
+    return spark.read.schema(whole.schema).parquet(path), buckets
 
 
-def _found(docs: DataFrame, capacity: int) -> DataFrame:
-    """The stored keys of all documents, with their group's size and winning rank, and whether they have it."""
+def _found(docs: DataFrame, capacity: int, key_bits: int = 64) -> DataFrame:
+    """The stored keys of all documents, with their group's size and winning rank (null: alone), and whether they stay."""
     text = normalised()
     docs = docs.select("doc_id", "text")
     keys = stored(
-        docs.select(
-            "doc_id", F.xxhash64(text).alias("key"), F.unhex(F.sha2(text, 256)).alias("sha"), F.length(whole_text()).alias("n_chars")
-        ),
+        docs.select("doc_id", key_of(text, key_bits).alias("key"), F.unhex(F.sha2(text, 256)).alias("sha"), F.length(whole_text()).alias("n_chars")),
         "exact_keys",
     )
-    index = build_index(docs, keys, capacity)
-    entries = index.select("key", F.explode("chain").alias("c")).where("c.size > 1")
-    entries = entries.select("key", F.unhex("c.sha").alias("sha"), F.col("c.size").alias("size"), F.col("c.best").alias("best"))
+    index, buckets = build_index(docs, keys, capacity, key_bits)
+    entries = index.where("rows > 1").select("bits", "prefix", "key", F.explode("chain").alias("c"))
+    entries = entries.select("bits", "prefix", "key", "c.sha", "c.size", "c.best").where("size > 1")
     mine = _rank(F.col("n_chars"), F.col("doc_id"))
-    return keys.join(entries, ["key", "sha"], "left").withColumn("kept", F.col("size").isNull() | (F.col("best") == mine))
+    probe = routed(keys, buckets).join(entries, ["bits", "prefix", "key", "sha"], "left")
+    return probe.withColumn("kept", F.col("size").isNull() | (F.col("best") == mine))
 
 
-def exact_duplicates(docs: DataFrame, capacity: int = 4096) -> DataFrame:
+def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, key_bits: int = 64) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without white space. Of equals the row with the most code
@@ -150,7 +168,7 @@ def exact_duplicates(docs: DataFrame, capacity: int = 4096) -> DataFrame:
     of one group, and each of them that ties with the winner says ``kept``; an empty table gives
     an empty result. Other columns are ignored.
     """
-    return _found(docs, capacity).select(
+    return _found(docs, capacity, key_bits).select(
         "doc_id",
         F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(_id_of(F.col("best"))).alias("keep_id"),
         F.coalesce("size", F.lit(1).cast("bigint")).alias("group_size"),
@@ -159,19 +177,14 @@ def exact_duplicates(docs: DataFrame, capacity: int = 4096) -> DataFrame:
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, capacity: int = 4096) -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The documents that stay, one per group, with all their columns.
 
     A row is known by doc_id (null is a value), text hash and length together, so different texts
-    under one id all stay. Rows of one group that tie for its place stay once.
+    under one id all stay, and a dropped copy goes even if another row with its id stays. Of rows
+    that tie for one place the least by its columns, in their order, stays.
     """
     same = ["doc_id", "sha", "n_chars"]
-    kept = stored(_found(docs, capacity).where("kept").groupBy(same).agg(F.count(F.lit(1)).alias("rows")), "exact_kept")
-    kept = kept.select(*[F.col(c).alias(f"_kept_{c}") for c in same], F.col("rows").alias("_rows"))
-    mine = docs.withColumns({"_sha": F.unhex(F.sha2(normalised(), 256)), "_n_chars": F.length(whole_text())})
-    match = F.col("doc_id").eqNullSafe(F.col("_kept_doc_id")) & (F.col("_sha") == F.col("_kept_sha")) & (F.col("_n_chars") == F.col("_kept_n_chars"))
-    out = mine.join(kept, match)
-    once = out.where("_rows = 1").select(docs.columns)
-    if kept.where("_rows > 1").isEmpty():
-        return once
-    return once.unionByName(out.where("_rows > 1").dropDuplicates(["doc_id", "_sha"]).select(docs.columns))
+    groups = _found(docs, capacity).where("size > 1").groupBy(*same).agg(F.count(F.lit(1)).alias("rows"), F.max("kept").alias("kept"))
+    decided = stored(groups.where("NOT kept OR rows > 1").select(*same, "kept"), "exact_decided")
+    return settle(docs, decided, {"sha": F.unhex(F.sha2(normalised(), 256)), "n_chars": F.length(whole_text())})
