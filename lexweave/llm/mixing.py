@@ -11,17 +11,19 @@ shared folder after each round of sweeps.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import stored, whole_text
+from lexweave.llm.common import free_name, stored, whole_text
 
 DIMENSIONS = ("source", "lang", "topic")
 TEMPER = 0.7  # default targets: shares to this power, so large groups give way to small ones
 BUDGET = 0.5  # expected share of all tokens that the sample holds
 SWEEPS = 3  # per round
-ROUNDS = 12
 TOLERANCE = 1e-6  # largest relative distance of a marginal from its target
+STALL = 0.995  # a round that leaves more than this of the distance gets nowhere: targets contradict each other
 BROADCAST_CELLS = 50_000  # cells that are broadcast at most; beyond, the join shuffles
 NONE = "(none)"
 
@@ -59,11 +61,18 @@ def default_targets(cells: DataFrame, power: float = TEMPER) -> dict[str, DataFr
     return out
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
+class ContradictingTargets(ValueError):
+    """No weights can meet all targets."""
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, strict: bool = True) -> DataFrame:
     """``cells`` with ``share``, the fitted share of each cell.
 
     A value that a target lacks gets share 0; targets are scaled to the values that occur. Cells
-    without mass keep share 0. If marginals contradict each other the last round's fit stays.
+    without mass keep share 0. Sweeps go on until every marginal is within ``tolerance`` of its
+    target. Where cells that don't occur make targets contradict each other, the distance stops
+    falling: that raises :class:`ContradictingTargets`, or, if not ``strict``, warns and returns
+    the last fit.
     """
     table = cells.where("mass > 0")
     for d in DIMENSIONS:
@@ -76,7 +85,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
     for d in DIMENSIONS:
         totals[d] = table.groupBy(d).agg(F.first(f"t_{d}").alias("t")).agg(F.sum("t")).first()[0] or 1.0
     goal = {d: F.col(f"t_{d}") / F.lit(totals[d]) for d in DIMENSIONS}
-    for _ in range(rounds):
+    before = None
+    while True:
         for _ in range(SWEEPS):
             for d in DIMENSIONS:
                 own = F.sum("share").over(Window.partitionBy(d))
@@ -86,8 +96,14 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
         away = table.agg(F.max(F.greatest(*gaps))).first()[0] or 0.0
         table = table.drop(*gaps)
         if away <= tolerance:
-            break
-    return table
+            return table
+        if before is not None and away > before * STALL:
+            said = f"targets contradict each other: a marginal stays {away:.3g} of its target away"
+            if strict:
+                raise ContradictingTargets(said)
+            warnings.warn(said, stacklevel=2)
+            return table
+        before = away
 
 
 def calibrate(fitted: DataFrame, budget: float = BUDGET) -> DataFrame:
@@ -120,10 +136,12 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: fl
     """
     own_topic = F.col("topic") if "topic" in docs.columns else topic()
     base = docs.drop("n_tokens", "weight", "probability", "sampled").withColumns({"n_tokens": n_words(), "topic": own_topic})
-    category = {f"_{d}": F.coalesce(F.col(d).cast("string"), F.lit(NONE)) for d in DIMENSIONS}
-    cells = stored(cell_table(base.select("n_tokens", *[c.alias(n[1:]) for n, c in category.items()])), "mix_mass")
-    fitted = rake(cells, targets or default_targets(cells))
-    rates = stored(calibrate(fitted, budget).select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "weight", "probability"), "mix_rates")
+    named = {d: free_name(base, f"cell_{d}") for d in DIMENSIONS}
+    category = {named[d]: F.coalesce(F.col(d).cast("string"), F.lit(NONE)) for d in DIMENSIONS}
+    cells = stored(cell_table(base.select("n_tokens", *[category[named[d]].alias(d) for d in DIMENSIONS])), "mix_mass")
+    # tempered shares of a corpus can contradict each other; targets that a caller names mustn't
+    fitted = rake(cells, targets or default_targets(cells), strict=targets is not None)
+    rates = stored(calibrate(fitted, budget).select(*[F.col(d).alias(named[d]) for d in DIMENSIONS], "weight", "probability"), "mix_rates")
     if rates.count() <= BROADCAST_CELLS:
         rates = F.broadcast(rates)
     out = base.withColumns(category).join(rates, list(category), "left").drop(*category)
