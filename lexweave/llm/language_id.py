@@ -13,13 +13,15 @@ import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexweave.llm.common import free_name, stored
+
 PROFILE = 400  # n-grams in a profile
 UNKNOWN = "und"
 COUNTS = "lang string, gram bigint, n bigint"
-CHUNK = 1 << 20  # characters that are counted at once
+CHUNK = 1 << 18  # characters that are counted at once, but for a longer word
 
 _tables: list = []
 
@@ -62,9 +64,38 @@ def grams(text: str):
     return np.concatenate((c[~gap], two[~(gap[:-1] & gap[1:])], three[~gap[1:-1]]))
 
 
-def _ranked(codes, top: int):
+def _pieces(text: str):
+    """A text in pieces of about ``CHUNK`` characters, cut where no letter stands."""
+    letter, at = _letters()[0], 0
+    while len(text) - at > CHUNK:
+        cut = at + CHUNK
+        while cut < len(text) and letter[ord(text[cut])]:
+            cut += 1
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+def gram_counts(text: str):
+    """(codes, counts) of all n-grams of a whole text, piece by piece; None if it has no letter."""
+    total = None
+    for piece in _pieces(text):
+        codes = grams(piece)
+        if codes is not None:
+            found = np.unique(codes, return_counts=True)
+            total = found if total is None else _added(total, found)
+    return total
+
+
+def _added(a, b):
+    """Counts of both together."""
+    code, at = np.unique(np.concatenate((a[0], b[0])), return_inverse=True)
+    return code, np.bincount(at, weights=np.concatenate((a[1], b[1]))).astype(np.int64)
+
+
+def _ranked(counted, top: int):
     """The ``top`` most frequent codes, most frequent first, ties by code."""
-    code, n = np.unique(codes, return_counts=True)
+    code, n = counted
     if len(code) > top:
         least = np.partition(n, len(n) - top)[len(n) - top]
         code, n = code[n >= least], n[n >= least]
@@ -88,10 +119,10 @@ class Profiles:
 
     def nearest(self, text: str | None) -> tuple[str, float]:
         """(language, score): score is 1 at a perfect match of ranks and 0 if no n-gram is known."""
-        codes = grams(text) if text else None
-        if codes is None or not self.langs:
+        counted = gram_counts(text) if text else None
+        if counted is None or not self.langs:
             return UNKNOWN, 0.0
-        own = _ranked(codes, self.size)
+        own = _ranked(counted, self.size)
         best, least = UNKNOWN, None
         for lang, code, rank in zip(self.langs, self.codes, self.ranks):
             at = np.minimum(np.searchsorted(code, own), len(code) - 1)
@@ -115,12 +146,13 @@ def learn(train: DataFrame, size: int = PROFILE) -> Profiles:
         for batch in batches:
             pending: dict = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                codes = grams(text)
-                if codes is not None:
-                    held = pending.setdefault(lang, [])
-                    held.append(codes)
-                    if sum(map(len, held[-64:])) > CHUNK or len(held) >= 512:
-                        _add(kept, lang, pending.pop(lang))
+                for piece in _pieces(text):
+                    codes = grams(piece)
+                    if codes is not None:
+                        held = pending.setdefault(lang, [])
+                        held.append(codes)
+                        if sum(map(len, held[-64:])) > CHUNK * 4 or len(held) >= 512:
+                            _add(kept, lang, pending.pop(lang))
             for lang, held in pending.items():
                 _add(kept, lang, held)
         for lang, (code, n) in kept.items():
@@ -128,21 +160,16 @@ def learn(train: DataFrame, size: int = PROFILE) -> Profiles:
 
     def _add(kept, lang, held):
         code, n = np.unique(np.concatenate(held), return_counts=True)
-        if lang in kept:
-            both = np.concatenate((kept[lang][0], code))
-            code, at = np.unique(both, return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate((kept[lang][1], n))).astype(np.int64)
-        kept[lang] = (code, n.astype(np.int64))
-
-    from lexweave.llm.common import stored
+        kept[lang] = _added(kept[lang], (code, n)) if lang in kept else (code, n.astype(np.int64))
 
     rows = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     counts = stored(rows.mapInArrow(count, COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram_counts")
-    ranked = {}
-    for (lang,) in counts.select("lang").distinct().collect():  # one row per language
-        top = counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(size).select("gram").collect()
-        ranked[lang] = np.array([r[0] for r in top], dtype=np.int64)
-    return Profiles.of(ranked, size)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    top = counts.withColumn("place", place).where(F.col("place") <= size).select("lang", "gram", "place")
+    ranked: dict = {}
+    for lang, gram, _ in sorted(top.collect(), key=lambda r: (r[0], r[2])):  # size rows per language
+        ranked.setdefault(lang, []).append(gram)
+    return Profiles.of({lang: np.array(g, dtype=np.int64) for lang, g in ranked.items()}, size)
 
 
 def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
@@ -162,5 +189,7 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFra
         found = [known.value.nearest(t) for t in texts]
         return pd.DataFrame({"lang_pred": [f[0] for f in found], "score": [f[1] for f in found]})
 
-    out = docs.drop("lang_pred", "score").withColumn("_found", nearest(F.col(text)))
-    return out.select("*", "_found.lang_pred", "_found.score").drop("_found")
+    found = free_name(docs, "found")
+    out = docs.withColumn(found, nearest(F.col(text)))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    return out.select(*kept, F.col(found)["lang_pred"].alias("lang_pred"), F.col(found)["score"].alias("score"))
