@@ -84,6 +84,55 @@ def test_exact_dedup_null_and_repeated_ids(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_exact_dedup_drops_by_row_and_keeps_clashing_columns(spark):
+    from lexweave.llm.exact_dedup import drop_exact_duplicates
+
+    rows = [(3, "aa  ", 1), (5, "a a", 2), (5, "unique b", 3), (7, "z", 4), (8, "tie", 9), (8, "tie", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, suspect int").withColumns({"row": F.lit("r"), "kept": F.lit(False), "_of_doc_id": F.lit(1), "stays": F.lit(0), "bits": F.lit(2), "attrs": F.create_map(F.lit("k"), F.lit(1))})
+    got = drop_exact_duplicates(docs)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"], r["suspect"]) for r in got.collect()) == [(3, "aa  ", 1), (5, "unique b", 3), (7, "z", 4), (8, "tie", 6)]
+
+
+def test_near_dedup_drops_by_row(spark):
+    from lexweave.llm.ngram_join import drop_near_duplicates
+
+    t = "one two three four five six seven"
+    rows = [(3, t), (5, t.upper()), (5, "other words are here and stay there"), (6, ""), (6, None), (None, t), (9, "a b"), (9, "a  b"), (None, "lone"), (None, "lone")]
+    got = drop_near_duplicates(spark.createDataFrame(rows, DOCS).withColumn("class", F.lit(1))).collect()
+    want = [(3, t, 1), (5, rows[2][1], 1), (6, "", 1), (6, None, 1), (9, "a  b", 1), (None, "lone", 1)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_exact_index_chains_colliding_texts(spark, docs, rows):
+    from lexweave.llm.exact_dedup import exact_duplicates
+
+    plain = {tuple(r) for r in exact_duplicates(docs).collect()}
+    for key_bits in (0, 3):  # every text in one slot, or in eight
+        assert {tuple(r) for r in exact_duplicates(docs, 4, key_bits).collect()} == plain
+
+
+def test_exact_index_is_laid_out_by_its_directory(spark, docs):
+    from lexweave.llm import exact_dedup as E
+    from lexweave.llm.common import stored
+
+    text = E.normalised()
+    keys = stored(docs.select("doc_id", E.key_of(text).alias("key"), F.unhex(F.sha2(text, 256)).alias("sha"), F.length(F.coalesce("text", F.lit(""))).alias("n_chars")), "keys")
+    owners = {}
+    for capacity in (4096, 4):
+        index, buckets = E.build_index(docs, keys, capacity)
+        live = {(r["bits"], r["prefix"]) for r in buckets.collect()}
+        entries = index.withColumn("file", F.input_file_name()).collect()
+        assert {r["key"] for r in entries} == {r["key"] for r in keys.collect()}
+        assert sum(r["rows"] for r in entries) == keys.count()
+        for r in entries:
+            assert (r["bits"], r["prefix"]) in live and (r["key"] & (1 << 64) - 1) >> (64 - r["bits"]) == r["prefix"]
+            assert f"/bits={r['bits']}/prefix={r['prefix']}/" in r["file"]
+        owners[capacity] = {r["key"]: (r["bits"], r["prefix"]) for r in entries}
+    assert max(b for b, _ in owners[4].values()) > 4  # a split gives its slots other owners
+    assert sum(owners[4][k] != owners[4096][k] for k in owners[4]) > 0
+
+
 def test_directory_splits(spark):
     from lexweave.llm.exact_dedup import directory
 
@@ -147,13 +196,15 @@ def test_word_encoder():
     assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode([t.encode() for t in texts])] == [enc.full.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-def test_packing(spark, docs, rows):
-    from lexweave.llm.packing import binary_lengths, pack
+def test_packing(spark, docs, rows, tmp_path):
+    from lexweave.llm.packing import binary_lengths, pack, write_buckets
 
     assert binary_lengths(2048 * 2 + 1029, 2048) == [2048, 2048, 1024, 4, 1] and binary_lengths(0, 8) == []
     got = collections.defaultdict(list)
-    seen = set()
+    seen, of_bucket = set(), collections.defaultdict(set)
     for r in pack(docs, PATH, 64).collect():
+        of_bucket[r["bucket"]].add(r["sequence_id"])
+        assert 1 << r["bucket"] == r["length"]
         got[r["doc_id"]].append((r["start"], np.frombuffer(r["ids"], "<u4").tolist(), r["doc_tokens"]))
         assert r["length"] == len(r["ids"]) // 4 and r["length"] & (r["length"] - 1) == 0 and r["length"] <= 64 and r["offset"] == 0
         seen.add(r["sequence_id"])
@@ -162,6 +213,11 @@ def test_packing(spark, docs, rows):
         pieces = sorted(got[d])
         ids = plain_ids(t) + [1]
         assert sum((p[1] for p in pieces), []) == ids and all(p[2] == len(ids) for p in pieces)
+    bounds = [(min(v), max(v)) for _, v in sorted(of_bucket.items())]
+    assert all(a[1] < b[0] for a, b in zip(bounds, bounds[1:]))  # a bucket's numbers are a range of their own
+    write_buckets(pack(docs, PATH, 64), str(tmp_path / "buckets"))
+    by_length = {r["length"]: r["n"] for r in spark.read.parquet(str(tmp_path / "buckets")).groupBy("length").agg(F.count("*").alias("n")).collect()}
+    assert by_length == {1 << b: len(v) for b, v in of_bucket.items()}
     assert pack(docs.limit(0), PATH).count() == 0
     with pytest.raises(ValueError):
         pack(docs, PATH, 100)
@@ -338,7 +394,7 @@ def test_order_minhash(spark, docs, rows):
 
 
 def test_mixing(spark):
-    from lexweave.llm.mixing import DIMENSIONS, calibrate, cell_table, mix, rake
+    from lexweave.llm.mixing import DIMENSIONS, ContradictingTargets, cell_table, mix, rake
 
     rng = random.Random(4)
     rows = [(i, "w " * rng.randint(1, 30), rng.choice("aaab"), rng.choice(["x", "y", None]), rng.choice("pq")) for i in range(400)] + [(900, None, "c", "x", "p"), (901, "w", None, "y", "q")]
@@ -362,7 +418,17 @@ def test_mixing(spark):
     assert sum(r["n_tokens"] * r["probability"] for r in out) == pytest.approx(0.5 * tokens, rel=1e-6)
     assert 0.3 * tokens < sum(r["n_tokens"] for r in out if r["sampled"]) < 0.7 * tokens
     assert {r["doc_id"]: r["sampled"] for r in out} == {r["doc_id"]: r["sampled"] for r in mix(docs, budget=0.5).collect()}
-    assert mix(docs.limit(0)).count() == 0 and calibrate is not None
+    assert mix(docs.limit(0)).count() == 0
+    clash = mix(docs.withColumns({"_source": F.lit("own"), "cell_lang": F.lit("own")}), targets)
+    assert {(r["_source"], r["cell_lang"]) for r in clash.collect()} == {("own", "own")}
+    # source a is all of x and b all of y, so no weights give a half and x a third
+    apart = spark.createDataFrame([("a", "x", "p", 5.0), ("b", "y", "p", 5.0)], "source string, lang string, topic string, mass double")
+    one = lambda **v: spark.createDataFrame(list(v.items()), "value string, share double")
+    against = {"source": one(a=0.5, b=0.5), "lang": one(x=0.3, y=0.7), "topic": one(p=1.0)}
+    with pytest.raises(ContradictingTargets):
+        rake(apart, against)
+    with pytest.warns(UserWarning):
+        assert rake(apart, against, strict=False).count() == 2
 
 
 PAGE = """<html><head><title>t</title><script>x("</p>")</script></head><body><nav><ul><li><a>Home</a><li><a>News</a></ul></nav><div class="cookie-notice"><p>We use cookies here. Accept them.</p></div>
