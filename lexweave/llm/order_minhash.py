@@ -1,15 +1,18 @@
 """Document fingerprints by order MinHash, in array expressions only.
 
 The k-mers of a text (runs of ``K`` words) are numbered by occurrence, so a repeated k-mer counts
-each time, and hashed. The hash space has ``BINS`` bins; each bin takes its ``PICKED`` minimal
-k-mers, puts them back into text order and hashes the tuple: one coordinate of the signature.
+each time, and hashed onto a circle that has ``BINS`` bins. Each bin that has k-mers takes the
+``PICKED`` minimal ones from its start on; if it has too few, the next ones on the circle follow.
+They are put back into text order, and the hash of the tuple is one coordinate of the signature.
 Two texts share a coordinate only where the same k-mers occur *in the same order*, which makes
 the share of equal coordinates follow edit distance rather than set overlap alone. One sort per
-text serves all bins; nothing is exploded and texts don't leave their row.
+text serves all bins; nothing is exploded, and each text is signed once.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +21,7 @@ from lexweave.llm.common import shuffle_partitions, whole_text
 K = 3
 BIN_BITS = 6
 PICKED = 2
-POS_BITS = 24  # word positions beyond 2**24 count as the last one
-RANGES = 800  # most ranges of doc_id that neighbours are looked up in
+POS_BITS = 30  # a text of 2**31 bytes, the longest there is, has no more than 2**30 words
 WORD = r"[\x20\x09-\x0D]+"
 
 
@@ -39,8 +41,7 @@ def _bin(x: Column) -> Column:
 
 
 def _packed(hash64: Column, pos: Column) -> Column:
-    last = (1 << POS_BITS) - 1
-    return hash64.bitwiseAND(F.lit(~last)).bitwiseOR(F.least(pos, F.lit(last)).cast("bigint"))
+    return hash64.bitwiseAND(F.lit(-(1 << POS_BITS))).bitwiseOR(pos.cast("bigint"))
 
 
 def _upto(n: Column) -> Column:
@@ -76,18 +77,19 @@ def add_signature(df: DataFrame, text: str, out: str, k: int = K) -> DataFrame:
     df = _held(df, **{s: F.when(F.size(b) == F.size(s), F.col(s)).otherwise(F.sort_array(numbered))}).drop(b)
     picked = F.filter(s, lambda x, i: (i < PICKED) | (_bin(F.get(s, i - PICKED)) != _bin(x)))
     df = _held(df, **{sel: picked}).drop(s)
+    # a bin's tuple starts at its first k-mer and may run on into the next bins, around the circle
+    ring, many = f"_{out}_ring", F.least(F.lit(PICKED), F.size(sel))
+    df = _held(df, **{ring: F.concat(F.col(sel), F.slice(sel, F.lit(1), F.lit(PICKED - 1)))})
     first = F.filter(_upto(F.size(sel)), lambda i: (i == 0) | (_bin(F.get(sel, i)) != _bin(F.get(sel, i - 1))))
 
     def coordinate(i: Column) -> Column:
-        mine = _bin(F.get(sel, i))
-        own = F.filter(F.slice(sel, i + 1, F.lit(PICKED)), lambda y: _bin(y) == mine)
         turned = F.sort_array(
-            F.transform(own, lambda y: F.shiftleft(y, 64 - POS_BITS).bitwiseOR(_hash_part(y)).bitwiseAND(F.lit((1 << 63) - 1)))
+            F.transform(F.slice(ring, i + 1, many), lambda y: F.shiftleft(y.bitwiseAND(F.lit((1 << POS_BITS) - 1)), 64 - POS_BITS - 1).bitwiseOR(F.shiftrightunsigned(y, POS_BITS + 1)))
         )
-        tuple_hash = F.xxhash64(F.transform(turned, lambda y: y.bitwiseAND(F.lit((1 << (64 - POS_BITS)) - 1))))
-        return F.shiftleft(mine, 32).bitwiseOR(tuple_hash.bitwiseAND(F.lit((1 << 32) - 1)))
+        tuple_hash = F.xxhash64(F.transform(turned, lambda y: y.bitwiseAND(F.lit((1 << (63 - POS_BITS)) - 1))))
+        return F.shiftleft(_bin(F.get(sel, i)), 32).bitwiseOR(tuple_hash.bitwiseAND(F.lit((1 << 32) - 1)))
 
-    return _held(df, **{out: F.sort_array(F.transform(first, coordinate))}).drop(sel)
+    return _held(df, **{out: F.sort_array(F.transform(first, coordinate))}).drop(sel, ring)
 
 
 def fingerprint(signature: Column) -> Column:
@@ -102,31 +104,44 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
+def _constant(values, kind: str) -> Column:
+    """A list as one literal, however long."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def with_next(docs: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
     """``docs`` with ``next_<column>`` of the document that follows by doc_id; the last is followed by the first.
 
-    Documents are dealt into ranges of doc_id. The first of each range is also sent to the range
-    before it as a guest, so each range finds its neighbours alone. A null doc_id sorts first,
-    equal ids by the hash of their text. Ranges come from quantiles, so no range is hot unless
-    one doc_id is.
+    ``ids``: the doc_id column alone, so that looking for ranges reads nothing else. Documents are
+    dealt into ranges of doc_id, four a partition, whose bounds are quantiles; a row finds its
+    range by binary search. The first of each range is also sent to the range before it as a
+    guest, so each range finds its neighbours alone. A null doc_id sorts first, equal ids by the
+    hash of their text. No range is hot unless one doc_id is.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
-    n = min(4 * shuffle_partitions(spark), RANGES)
-    ids = docs.select(key.alias("key"))
-    cuts = ids.agg(F.percentile_approx("key", [i / n for i in range(1, n)], F.lit(10 * n))).first()[0] or []
+    n = 4 * shuffle_partitions(spark)
+    ids = ids.select(key.alias("key"))
+    cuts = ids.agg(F.percentile_approx("key", _constant([i / n for i in range(1, n)], "array<double>"), F.lit(10 * n))).first()[0] or []
     cuts = sorted(set(cuts))
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    bucket = F.size(F.filter(bounds, lambda c: c < key))
-    firsts = ids.withColumn("bucket", F.size(F.filter(bounds, lambda c: c < F.col("key")))).groupBy("bucket").agg(F.min("key").alias("key"))
-    firsts = sorted(tuple(r) for r in firsts.collect())  # one row per range
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-    is_first = key.isin(*before) if before else F.lit(False)
-    host = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), key) if before else F.lit(None).cast("int")
-    seats = F.when(is_first, F.array(F.struct(bucket.alias("bucket"), F.lit(0).alias("guest")), F.struct(host.alias("bucket"), F.lit(1).alias("guest")))).otherwise(
-        F.array(F.struct(bucket.alias("bucket"), F.lit(0).alias("guest")))
+    bounds, steps = _constant(cuts, "array<bigint>"), [1 << b for b in range(len(cuts).bit_length() - 1, -1, -1)]
+
+    def bucket_of(key: Column) -> Column:
+        """How many bounds are below ``key``."""
+        if not steps:
+            return F.lit(0)
+        return F.aggregate(
+            _constant(steps, "array<int>"), F.lit(0), lambda at, step: at + F.when(F.get(bounds, at + step - 1) < key, step).otherwise(0)
+        )
+
+    found = ids.groupBy(bucket_of(F.col("key")).alias("bucket")).agg(F.min("key").alias("key")).collect()  # one row a range
+    found = sorted((r["bucket"], r["key"]) for r in found)
+    guests = [(first, found[i - 1][0]) for i, (_, first) in enumerate(found)]
+    guests = spark.createDataFrame(guests, "first_key bigint, host int")
+    seats = F.when(F.col("host").isNull(), F.array(F.struct(bucket_of(key).alias("bucket"), F.lit(0).alias("guest")))).otherwise(
+        F.array(F.struct(bucket_of(key).alias("bucket"), F.lit(0).alias("guest")), F.struct(F.col("host").alias("bucket"), F.lit(1).alias("guest")))
     )
-    seated = docs.select("*", F.inline(seats))
+    seated = docs.join(F.broadcast(guests), key == F.col("first_key"), "left").select(*docs.columns, F.inline(seats))
     order = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     nexts = {f"next_{c}": F.lead(c).over(order) for c in columns}
     return seated.withColumns(nexts).where("guest = 0").drop("bucket", "guest")
@@ -142,7 +157,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     empty result; other columns are ignored.
     """
     base = docs.select("doc_id", whole_text().alias("text"))
-    signed = with_next(add_signature(base, "text", "own"), ["text", "own"])
+    signed = with_next(add_signature(base, "text", "own"), docs.select("doc_id"), ["text", "own"])
     n = F.length("text")
     tail = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - tail), F.substring(F.col("next_text"), F.lit(1), tail))
