@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 #: The white space that the contracts name: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = "\x20\t\n\x0b\x0c\r"
 FALLBACK_DIR = "/tmp/checkpoints/lexweave"
-FILTER_BITS = 27  # of a broadcast membership bitmap: 16 MB
+FILTER_BITS = 27  # of a broadcast membership bitmap: 16 MB, twice that with its rows
+PAGE_BITS = 11  # of one row of the bitmap
+SMALL_ROWS = 1_000_000  # of a few numbers each: about 64 MB as a broadcast
 
 
 _scope: ContextVar[str] = ContextVar("scope", default="")
@@ -66,6 +68,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A stored table of a few numbers a row, to be broadcast if it is counted at ``rows`` or fewer, else to be shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def with_member(df: DataFrame, hashed: Column, members: DataFrame, name: str) -> DataFrame:
     """``df`` with a boolean ``name``: whether ``hashed`` may be among ``members`` (one bigint column of hashes).
 
@@ -76,16 +83,41 @@ def with_member(df: DataFrame, hashed: Column, members: DataFrame, name: str) ->
     (value,) = members.columns
     n = members.count()
     bits = min(max(n * 16, 1 << 15), 1 << FILTER_BITS).bit_length() - 1
-    slot = lambda h: F.shiftrightunsigned(h, 64 - bits) + F.lit(1)
-    own = slot(F.col(value))
-    pages = members.groupBy(F.bitmap_bucket_number(own).alias("_page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(own)).alias("_bits"))
-    at = F.bitmap_bit_position(slot(hashed))
+    slot = lambda h: F.shiftrightunsigned(h, 64 - bits)
+    page_of, place_of = lambda h: F.shiftright(slot(h), PAGE_BITS), lambda h: slot(h).bitwiseAND(F.lit((1 << PAGE_BITS) - 1))
+    whole = F.bitmap_construct_agg(place_of(F.col(value)))  # always 4 kB, the rest of which is empty
+    pages = members.groupBy(page_of(F.col(value)).alias("_page")).agg(F.substring(whole, 1, 1 << PAGE_BITS - 3).alias("_bits"))
+    at = place_of(hashed)
     byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) != 0, F.lit(False))
-    joined = df.join(F.broadcast(pages), F.bitmap_bucket_number(slot(hashed)) == F.col("_page"), "left")
+    joined = df.join(F.broadcast(pages), page_of(hashed) == F.col("_page"), "left")
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], hit.alias(name))
 
 
+def give_back() -> None:
+    """Free memory of this process goes back to the system; Python workers live on between stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def given_back(rows: Iterator) -> Iterator:
+    """``rows``, and :func:`give_back` at their end."""
+    try:
+        yield from rows
+    finally:
+        import gc
+
+        gc.collect()
+        give_back()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name`` with underscores in front until no column of ``df`` has it, in any case."""
     taken = {c.lower() for c in df.columns}
@@ -116,7 +148,7 @@ def settle(docs: DataFrame, decided: DataFrame, identity: dict[str, Column]) ->
     match = F.lit(True)
     for c in names:
         match = match & F.col(f"is_{c}").eqNullSafe(F.col(f"of_{c}"))
-    joined = own.join(known, match, "left")
+    joined = own.join(small(known), match, "left")
     once = joined.where("stays").groupBy(*[f"is_{c}" for c in names]).agg(F.min_by("row", "order").alias("row"))
     return clear.unionByName(joined.where(F.col("stays").isNull()).select("row.*")).unionByName(once.select("row.*"))
 

@@ -10,13 +10,16 @@ length. Counting covers every training text whole: tasks count their own texts,
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import pandas_udf
 
-from lexweave.llm.common import free_name, stored
+from lexweave.llm.common import free_name, given_back, stored
 
 PROFILE = 400  # n-grams in a profile
 UNKNOWN = "und"
@@ -163,7 +166,7 @@ def learn(train: DataFrame, size: int = PROFILE) -> Profiles:
         kept[lang] = _added(kept[lang], (code, n)) if lang in kept else (code, n.astype(np.int64))
 
     rows = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    counts = stored(rows.mapInArrow(count, COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram_counts")
+    counts = stored(rows.mapInArrow(lambda b: given_back(count(b)), COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram_counts")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = counts.withColumn("place", place).where(F.col("place") <= size).select("lang", "gram", "place")
     ranked: dict = {}
@@ -178,16 +181,16 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFra
     ``und`` with score 0 for a text that is null or has no letter (or if nothing was learned);
     ties go to the language that sorts first. Columns of ``docs`` with those names are replaced.
     """
-    from pyspark.sql.pandas.functions import pandas_udf
-
     known = docs.sparkSession.sparkContext.broadcast(profiles)
 
-    @pandas_udf("lang_pred string, score double")
-    def nearest(texts):
-        import pandas as pd
+    def each(parts):
+        for texts in parts:
+            found = [known.value.nearest(t) for t in texts]
+            yield pd.DataFrame({"lang_pred": [f[0] for f in found], "score": [f[1] for f in found]})
 
-        found = [known.value.nearest(t) for t in texts]
-        return pd.DataFrame({"lang_pred": [f[0] for f in found], "score": [f[1] for f in found]})
+    @pandas_udf("lang_pred string, score double")
+    def nearest(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return given_back(each(parts))
 
     found = free_name(docs, "found")
     out = docs.withColumn(found, nearest(F.col(text)))

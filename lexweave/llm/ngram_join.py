@@ -13,10 +13,11 @@ Two documents link when their sets of word shingles have Jaccard similarity of a
    some of its prefix tokens lead to; where they link, it joins that leader's group. A group is
    therefore connected, and nothing inside it is compared again. Large groups are dealt into
    chunks of at most ``CHUNK`` members.
-4. *Token-group matrix.* Each chunk has the union of its members' prefix tokens and of all their
-   tokens. A class visits a chunk of another group only if a prefix token leads there and sizes
-   allow; the chunk opens only if the class has enough tokens in the union; inside, overlaps with
-   all members come from one product of incidence matrices.
+4. *Token-group matrix.* For each chunk the union of its members' tokens is stored. A class asks
+   a chunk of another group only if a prefix token leads there and sizes allow. Its overlap with
+   the union bounds that with any member; only chunks whose bound is met open, and only then do
+   members' tokens move. Inside, overlaps with all members come from one product of incidence
+   matrices.
 5. Links of both kinds give the components.
 
 A group of copies is one class. A group of near copies is one or few groups, at a cost in
@@ -28,13 +29,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import shuffle_partitions, stored, whole_text
+from lexweave.llm.common import give_back, given_back, settle, shuffle_partitions, small, stored, whole_text
 from lexweave.llm.components import components
 
 WORDS = 5
 THRESHOLD = 80  # percent
 TOKEN_BITS = 48
-FLUSH = 1_500_000  # tokens that a task holds before it deals them out
+FLUSH = 1_000_000  # tokens that a task holds before it deals them out
+OWNER_TOKENS = 2_000_000  # tokens that an owner of a token range gets on average, at most
 CHUNK = 128  # members of a chunk of a group
 VISITORS = 512  # classes that are compared with a chunk at once
 
@@ -88,7 +90,21 @@ def classes_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     names=["doc_id", "n_shingles", "class"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint"), whole_text().alias("text")).mapInArrow(sets, "doc_id bigint, n_shingles bigint, class bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), whole_text().alias("text")).mapInArrow(lambda b: given_back(sets(b)), "doc_id bigint, n_shingles bigint, class bigint")
+
+
+def class_column(words: int):
+    """A function of text columns: the class of each text, null without words."""
+    from pyspark.sql.pandas.functions import pandas_udf
+
+    @pandas_udf("bigint")
+    def name(texts):
+        import pandas as pd
+
+        found = (shingle_set(t.encode(), words) for t in texts)
+        return pd.Series([class_of(s) if len(s) else None for s in found], dtype="Int64")
+
+    return name
 
 
 def _packed(tokens) -> bytes:
@@ -106,48 +122,59 @@ def _unpacked(raw: bytes):
     return out.view("<u8").ravel()
 
 
+def _deal(sets, owners: int):
+    """Record batches (owner, class, runs, tokens) of (class, tokens) pairs; a class that comes again is left out."""
+    import numpy as np
+    import pyarrow as pa
+
+    seen, held, size = set(), [], 0
+
+    def flush():
+        tok = np.concatenate([s for _, s in held])
+        doc = np.repeat(np.arange(len(held), dtype=np.int32), [len(s) for _, s in held])
+        name = np.array([c for c, _ in held], np.int64)
+        owner = (tok % np.uint64(owners)).astype(np.int32)
+        order = np.argsort(owner, kind="stable")
+        tok, doc, owner = tok[order], doc[order], owner[order]
+        at = np.flatnonzero(np.diff(owner, prepend=-1))
+        rows = []
+        for a, b in zip(at.tolist(), at[1:].tolist() + [len(owner)]):
+            first = np.flatnonzero(np.diff(doc[a:b], prepend=-1))
+            runs = np.diff(np.append(first, b - a))
+            rows.append((int(owner[a]), name[doc[a:b][first]].tobytes(), runs.astype("<u4").tobytes(), _packed(tok[a:b])))
+        cols = list(zip(*rows))
+        return pa.record_batch([pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]], names=["owner", "class", "runs", "tokens"])
+
+    for c, s in sets:
+        if c not in seen:
+            seen.add(c)
+            held.append((c, s))
+            size += len(s)
+            if size >= FLUSH:
+                yield flush()
+                held, size = [], 0
+    if held:
+        yield flush()
+
+
+DEALT = "owner int, class binary, runs binary, tokens binary"
+
+
 def shared_tokens(docs: DataFrame, words: int, owners: int) -> DataFrame:
     """(part, class, runs, tokens, holders): tokens that several classes hold, packed by owner and part of the classes."""
 
     def deal(batches):
-        import numpy as np
-        import pyarrow as pa
-
         from lexweave.llm.tokens import text_slices
 
-        seen, held, size = set(), [], 0
-
-        def flush():
-            tok = np.concatenate([s for _, s in held])
-            doc = np.repeat(np.arange(len(held), dtype=np.int32), [len(s) for _, s in held])
-            name = np.array([c for c, _ in held], np.int64)
-            owner = (tok % np.uint64(owners)).astype(np.int32)
-            order = np.argsort(owner, kind="stable")
-            tok, doc, owner = tok[order], doc[order], owner[order]
-            at = np.flatnonzero(np.diff(owner, prepend=-1))
-            rows = []
-            for a, b in zip(at.tolist(), at[1:].tolist() + [len(owner)]):
-                first = np.flatnonzero(np.diff(doc[a:b], prepend=-1))
-                runs = np.diff(np.append(first, b - a))
-                rows.append((int(owner[a]), name[doc[a:b][first]].tobytes(), runs.astype("<u4").tobytes(), _packed(tok[a:b])))
-            cols = list(zip(*rows))
-            return pa.record_batch([pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]], names=["owner", "class", "runs", "tokens"])
+        def sets():
+            for batch in batches:
+                for _, texts in text_slices(batch.column(0)):
+                    for t in texts:
+                        s = shingle_set(t, words)
+                        if len(s):
+                            yield class_of(s), s
 
-        for batch in batches:
-            for _, texts in text_slices(batch.column(0)):
-                for t in texts:
-                    s = shingle_set(t, words)
-                    if len(s):
-                        c = class_of(s)
-                        if c not in seen:
-                            seen.add(c)
-                            held.append((c, s))
-                            size += len(s)
-                if size >= FLUSH:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
+        return _deal(sets(), owners)
 
     def count(table):
         import numpy as np
@@ -183,9 +210,10 @@ def shared_tokens(docs: DataFrame, words: int, owners: int) -> DataFrame:
             runs = np.diff(np.append(first, b - a)).astype("<u4")
             rows.append((int(part[a]), name[a:b][first].tobytes(), runs.tobytes(), _packed(tok[a:b]), holders[a:b].tobytes()))
         cols = list(zip(*rows)) or [()] * 5
+        give_back()
         return pa.table({"part": pa.array(cols[0], pa.int64())} | {k: pa.array(c, pa.binary()) for k, c in zip(("class", "runs", "tokens", "holders"), cols[1:])})
 
-    dealt = docs.select(whole_text().alias("text")).mapInArrow(deal, "owner int, class binary, runs binary, tokens binary")
+    dealt = docs.select(whole_text().alias("text")).mapInArrow(lambda b: given_back(deal(b)), DEALT)
     return dealt.groupBy("owner").applyInArrow(count, "part bigint, class binary, runs binary, tokens binary, holders binary")
 
 
@@ -194,7 +222,8 @@ def able_classes(docs: DataFrame, found: DataFrame, words: int = WORDS) -> DataF
 
     ``found``: the result of :func:`classes_of`.
     """
-    owners = shuffle_partitions(docs.sparkSession)
+    total = found.agg(F.sum("n_shingles")).first()[0] or 0
+    owners = max(shuffle_partitions(docs.sparkSession), -(-total // OWNER_TOKENS))
     parts = shared_tokens(docs, words, owners)
     sizes = found.where(F.col("class").isNotNull()).groupBy(F.col("class").alias("name")).agg(F.max("n_shingles").alias("n"))
     sizes = sizes.withColumn("home", F.pmod("name", F.lit(owners).cast("bigint")))
@@ -221,6 +250,7 @@ def able_classes(docs: DataFrame, found: DataFrame, words: int = WORDS) -> DataF
                 first = np.lexsort((tok[a:b], holders[a:b]))[: b - a - least + 1]  # tokens of its own come before all these
                 for k, v in zip(out, (int(name[a]), size, b - a, _packed(np.sort(tok[a:b])), tok[a:b][first].astype(np.int64).tolist())):
                     out[k].append(v)
+        give_back()
         return pa.table(
             {k: pa.array(out[k], pa.int64()) for k in ("class", "n", "shared")}
             | {"tokens": pa.array(out["tokens"], pa.binary()), "prefix": pa.array(out["prefix"], pa.list_(pa.int64()))}
@@ -247,11 +277,12 @@ def led_links(able: DataFrame, prefixes: DataFrame) -> DataFrame:
     # one leader for each class; what else there is the matrix finds
     pairs = votes.groupBy("class").agg(F.min(F.struct("share", -F.col("votes"), "leader")).alias("best")).select("class", F.col("best.leader").alias("leader"))
     pairs = stored(pairs, "jaccard_pairs")
-    rooms = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("rooms"))
-    led = rooms.join(able.select(F.col("class").alias("leader"), F.col("n").alias("h_n"), F.col("tokens").alias("h_tokens")), "leader")
+    rooms = stored(pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("rooms")), "jaccard_rooms")
+    led = able.select(F.col("class").alias("leader"), F.col("n").alias("h_n"), F.col("tokens").alias("h_tokens")).join(small(rooms), "leader")
     led = led.select(F.col("leader").alias("h_class"), "h_n", "h_tokens", F.explode(F.sequence(F.lit(0), F.col("rooms") - 1)).alias("h_room"))
     seated = pairs.join(rooms, "leader").select("leader", F.pmod(F.xxhash64("class"), F.col("rooms")).cast("int").alias("room"), F.col("class").alias("v_class"))
-    followers = seated.join(able.select(F.col("class").alias("v_class"), F.col("n").alias("v_n"), F.col("tokens").alias("v_tokens")), "v_class")
+    packs = able.select(F.col("class").alias("v_class"), F.col("n").alias("v_n"), F.col("tokens").alias("v_tokens"))
+    followers = packs.join(small(stored(seated, "jaccard_seated")), "v_class").select("leader", "room", "v_class", "v_n", "v_tokens")
 
     def verify(guests, host):
         import numpy as np
@@ -291,60 +322,95 @@ def visiting_links(able: DataFrame, prefixes: DataFrame, groups: DataFrame) -> D
         .select("visitor", "grp", "chunk").distinct()
     )
     visits = stored(visits, "group_visits")
-    rooms = visits.groupBy("grp", "chunk").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("rooms"))
-    arrived = (
-        visits.join(rooms, ["grp", "chunk"]).join(able.select(F.col("class").alias("visitor"), "n", "tokens"), "visitor")
-        .select("grp", "chunk", F.pmod(F.xxhash64("visitor"), F.col("rooms")).cast("int").alias("room"), F.col("visitor").alias("v_class"), F.col("n").alias("v_n"), F.col("tokens").alias("v_tokens"))
-    )
-    hosts = (
-        seats.join(rooms, ["grp", "chunk"]).join(able.select("class", "n", "tokens"), "class")
-        .select(F.col("grp").alias("h_grp"), F.col("chunk").alias("h_chunk"), F.explode(F.sequence(F.lit(0), F.col("rooms") - 1)).alias("h_room"), F.col("class").alias("h_class"), F.col("n").alias("h_n"), F.col("tokens").alias("h_tokens"))
-    )
-
-    def open_chunk(guests, members):
-        import numpy as np
-        import pyarrow as pa
-
-        a, b = [], []
-        if guests.num_rows and members.num_rows:
-            own = [_unpacked(t.as_py()) for t in members.column("h_tokens")]
-            own_n = np.array(members.column("h_n").to_pylist())
-            own_name = members.column("h_class").to_pylist()
-            union = np.unique(np.concatenate(own))
-            asking = []
-            for name, n, t in zip(guests.column("v_class").to_pylist(), guests.column("v_n").to_pylist(), guests.column("v_tokens")):
-                t = _unpacked(t.as_py())
-                at = np.minimum(np.searchsorted(union, t), len(union) - 1)
-                at = at[union[at] == t]
-                if len(at) * 100 >= THRESHOLD * n:  # the bound: no member can have more of it than the union
-                    asking.append((name, n, at))
-            if asking:
-                # only columns that some guest touches count
-                used = np.unique(np.concatenate([at for _, _, at in asking]))
-                for lo in range(0, len(own), 32):
-                    rows = np.zeros((min(32, len(own) - lo), len(used)), np.float32)
-                    for i, t in enumerate(own[lo : lo + 32]):
-                        at = np.searchsorted(union, t)
-                        where = np.minimum(np.searchsorted(used, at), len(used) - 1)
-                        rows[i, where[used[where] == at]] = 1
-                    for name, n, at in asking:
-                        common = rows[:, np.searchsorted(used, at)].sum(axis=1).astype(np.int64)
-                        for i in np.flatnonzero(common * 100 >= THRESHOLD * (n + own_n[lo : lo + 32] - common)).tolist():
-                            a.append(name)
-                            b.append(own_name[lo + i])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return arrived.groupBy("grp", "chunk", "room").cogroup(hosts.groupBy("h_grp", "h_chunk", "h_room")).applyInArrow(open_chunk, "a bigint, b bigint")
+    home, packs = ["grp", "chunk"], able.select("class", "n", "tokens")
+    visited = stored(seats.join(visits.select(*home).distinct(), home, "left_semi").select("class", *home), "group_visited")
+    seated = packs.join(small(visited), "class").select("grp", "chunk", "class", "n", "tokens")
+    unions = stored(seated.groupBy(*home).applyInArrow(_union, "grp bigint, chunk bigint, members bigint, member bigint, least bigint, tokens binary"), "group_unions")
+
+    def guests(visits, rooms):
+        room = F.pmod(F.xxhash64("visitor"), F.col("rooms")).cast("int").alias("room")
+        placed = stored(visits.join(rooms, home).select("visitor", *home, room), "group_placed")
+        named = packs.select(F.col("class").alias("visitor"), "n", "tokens")
+        return named.join(small(placed), "visitor").select("grp", "chunk", "room", F.col("visitor").alias("v_class"), F.col("n").alias("v_n"), F.col("tokens").alias("v_tokens"))
+
+    def hosts(table, rooms):
+        every = F.explode(F.sequence(F.lit(0), F.col("rooms") - 1)).alias("h_room")
+        others = [F.col(c).alias(f"h_{c}") for c in table.columns if c not in home]
+        return table.join(small(rooms), home).select(F.col("grp").alias("h_grp"), F.col("chunk").alias("h_chunk"), every, *others)
+
+    def met(visits, table, work, schema):
+        rooms = stored(visits.groupBy(*home).agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("rooms")), "group_rooms")
+        came = guests(visits, rooms).groupBy("grp", "chunk", "room")
+        return came.cogroup(hosts(table, rooms).groupBy("h_grp", "h_chunk", "h_room")).applyInArrow(work, schema)
+
+    # the union of one member is the member, so its bound is the answer; other chunks open if theirs is met
+    qualified = stored(met(visits, unions, _within_bound, "visitor bigint, grp bigint, chunk bigint, member bigint"), "group_qualified")
+    opened = qualified.where("member IS NULL").select("visitor", *home)
+    links = met(opened, seated, _open_chunk, "a bigint, b bigint")
+    return links.unionByName(qualified.where("member IS NOT NULL").select(F.col("visitor").alias("a"), F.col("member").alias("b")))
+
+
+def _union(members):
+    """The tokens of a chunk's members, each once, and the size of the smallest; ``member`` is the only one, or null."""
+    import numpy as np
+    import pyarrow as pa
 
+    union = np.unique(np.concatenate([_unpacked(t.as_py()) for t in members.column("tokens")]))
+    one = members.num_rows == 1
+    return pa.table(
+        {
+            "grp": members.column("grp").slice(0, 1), "chunk": members.column("chunk").slice(0, 1), "members": pa.array([members.num_rows], pa.int64()),
+            "member": pa.array([members.column("class")[0].as_py() if one else None], pa.int64()),
+            "least": pa.array([min(members.column("n").to_pylist())], pa.int64()), "tokens": pa.array([_packed(union)], pa.binary()),
+        }
+    )
 
-def jaccard_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id that links reach, a document's own included.
 
-    Texts without words (null, empty) have no shingle and link with nothing, not even with each
-    other; texts with fewer than ``words`` words are one shingle. Rows that repeat a doc_id are
-    documents of their own with that id; a null doc_id never names a component unless it is
-    alone in it. An empty table gives an empty result; other columns are ignored.
-    """
+def _within_bound(guests, host):
+    """Guests that could link with a member, as none shares more with them than the union or is smaller than the least."""
+    import numpy as np
+    import pyarrow as pa
+
+    keep, member = [], None
+    if guests.num_rows and host.num_rows:
+        union, least, member = _unpacked(host.column("h_tokens")[0].as_py()), host.column("h_least")[0].as_py(), host.column("h_member")[0].as_py()
+        for n, t in zip(guests.column("v_n").to_pylist(), guests.column("v_tokens")):
+            t = _unpacked(t.as_py())
+            at = np.minimum(np.searchsorted(union, t), len(union) - 1)
+            common = int((union[at] == t).sum())
+            keep.append(common * 100 >= THRESHOLD * (n + least - min(common, least)))
+    out = guests.filter(pa.array(keep, pa.bool_())) if keep else guests.slice(0, 0)
+    return pa.table({"visitor": out.column("v_class"), "grp": out.column("grp"), "chunk": out.column("chunk"), "member": pa.array([member] * out.num_rows, pa.int64())})
+
+
+def _open_chunk(guests, members):
+    """(a, b): links of guests with members of a chunk."""
+    import numpy as np
+    import pyarrow as pa
+
+    a, b = [], []
+    if guests.num_rows and members.num_rows:
+        own = [_unpacked(t.as_py()) for t in members.column("h_tokens")]
+        own_n, own_name = np.array(members.column("h_n").to_pylist()), members.column("h_class").to_pylist()
+        asking = [_unpacked(t.as_py()) for t in guests.column("v_tokens")]
+        names, sizes = guests.column("v_class").to_pylist(), guests.column("v_n").to_pylist()
+        used = np.unique(np.concatenate(asking))  # only columns that some guest has count
+        seats = [np.searchsorted(used, t) for t in asking]
+        for lo in range(0, len(own), 32):
+            rows = np.zeros((min(32, len(own) - lo), len(used)), np.float32)
+            for i, t in enumerate(own[lo : lo + 32]):
+                at = np.minimum(np.searchsorted(used, t), len(used) - 1)
+                rows[i, at[used[at] == t]] = 1
+            for name, n, at in zip(names, sizes, seats):
+                common = rows[:, at].sum(axis=1).astype(np.int64)
+                for i in np.flatnonzero(common * 100 >= THRESHOLD * (n + own_n[lo : lo + 32] - common)).tolist():
+                    a.append(name)
+                    b.append(own_name[lo + i])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _grouped(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """(found, groups): the classes of all documents, and of each class its component's first document and number of rows."""
     docs = docs.select("doc_id", "text")
     found = stored(classes_of(docs, words), "jaccard_classes")
     able = stored(able_classes(docs, found, words), "jaccard_able")
@@ -358,15 +424,40 @@ def jaccard_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     between = visiting_links(able, prefixes, groups)
     links = stored(led.select("a", F.col("leader").alias("b")).unionByName(between), "jaccard_links")
     linked = components(links)
-    names = found.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("first"))
-    joined = names.join(linked, names["class"] == linked["node"], "left").select("class", "first", F.coalesce("component", "class").alias("component"))
+    by_id = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")  # null ids last
+    names = found.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(by_id).alias("first"), F.count(F.lit(1)).alias("docs"))
+    joined = names.join(linked, names["class"] == linked["node"], "left").select("class", "first", "docs", "component")
     joined = stored(joined, "jaccard_names")
-    least = joined.join(linked.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("first").alias("least"))
-    ids = joined.join(least, "component", "left").select("class", F.coalesce("least", "first").alias("component_id"))
-    return found.join(ids, "class", "left").select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    least = joined.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("first").alias("least"), F.sum("docs").alias("members"))
+    groups = joined.join(least, "component", "left").select("class", F.coalesce("least", "first").alias("first"), F.coalesce("members", "docs").alias("members"))
+    return found, groups
+
+
+def jaccard_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id that links reach, a document's own included.
+
+    Texts without words (null, empty) have no shingle and link with nothing, not even with each
+    other; texts with fewer than ``words`` words are one shingle. Rows that repeat a doc_id are
+    documents of their own with that id; a null doc_id never names a component unless it is
+    alone in it. An empty table gives an empty result; other columns are ignored.
+
+    Sets hold 48-bit hashes of shingles and classes 64-bit hashes of sets; neither is checked
+    against the words.
+    """
+    found, groups = _grouped(docs, words)
+    own = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return found.join(groups, "class", "left").select("doc_id", "n_shingles", own.alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The document with the smallest doc_id of each component, with all its columns."""
-    kept = jaccard_components(docs, words).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """One document of each component, the one with the smallest doc_id (null last), with all its columns.
+
+    A row is known by doc_id and its set of shingles, so a dropped row goes even if another row
+    with its id stays. Of rows that tie for one place the smallest set hash, then the least row
+    by its columns, in their order, stays. Documents without words all stay.
+    """
+    found, groups = _grouped(docs, words)
+    members = found.join(groups.where("members > 1"), "class").groupBy("doc_id", "class").agg(F.count(F.lit(1)).alias("rows"), F.first("first").alias("first"))
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("class") == F.col("first.class"))
+    decided = members.withColumn("kept", kept).where("NOT kept OR rows > 1").select("doc_id", "class", "kept")
+    return settle(docs, stored(decided, "jaccard_decided"), {"class": class_column(words)(whole_text())})
