@@ -57,27 +57,59 @@ def _role(mark: Column) -> Column:
     return out
 
 
-MERGED = "array<struct<role:string,texts:array<string>>>"
+SPANS = "array<struct<start:bigint,length:bigint>>"
 
 
-def merge_turns(turns: Column) -> Column:
-    """Neighbours of one role become one element that holds their texts in order.
+def _held(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are evaluated once a row: a generator over one struct, which the optimizer doesn't inline."""
+    return df.select(*df.columns, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
-    ``turns``: sorted array of structs with ``role`` and ``text``.
+
+def run_starts(turns: str) -> Column:
+    """Where in the sorted turns a run of one role begins."""
+    every = F.when(F.size(turns) > 0, F.sequence(F.lit(0), F.size(turns) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(every, lambda i: (i == 0) | (F.get(turns, i)["role"] != F.get(turns, i - 1)["role"]))
+
+
+def merge_turns(turns: str, starts: str) -> Column:
+    """Neighbours of one role become one element (role, texts) that holds their texts in order.
+
+    ``turns`` is a column of sorted structs with ``role`` and ``text``, ``starts`` its
+    :func:`run_starts`; every turn is copied once.
     """
-    none = F.array().cast(MERGED)
-
-    def add(acc: Column, t: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts"))
-        alone = F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))
-        return (
-            F.when((F.size(acc) > 0) & (last["role"] == t["role"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined)))
-            .otherwise(F.concat(acc, F.array(alone)))
-            .cast(MERGED)
+    return F.transform(
+        F.col(starts),
+        lambda at, k: F.struct(
+            F.get(turns, at)["role"].alias("role"),
+            F.transform(F.slice(turns, at + 1, F.coalesce(F.get(starts, k + 1), F.size(turns)) - at), lambda t: t["text"]).alias("texts"),
+        ),
+    )
+
+
+def loss_spans(df: DataFrame, pieces: str, out: str) -> DataFrame:
+    """``df`` with the (start, length) of each piece under the loss.
+
+    Places add up in blocks of about the square root of their number, so the arrays that grow
+    inside an aggregate stay short in a conversation of any length.
+    """
+    measured = F.transform(pieces, lambda p: F.struct(F.length(p["piece"]).cast("bigint").alias("n"), p["loss"].alias("loss")))
+    df = _held(df, _measured=measured, _block=F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(pieces)))).cast("int"))
+    df = _held(df, _firsts=F.when(F.size(pieces) > 0, F.sequence(F.lit(1), F.size(pieces), F.col("_block"))).otherwise(F.array().cast("array<int>")))
+    size_of = lambda at: F.aggregate(F.slice("_measured", at, F.col("_block")), F.lit(0).cast("bigint"), lambda n, p: n + p["n"])
+    none = F.array().cast("array<bigint>")
+    run = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("starts"))
+    starts = F.aggregate("_firsts", run, lambda acc, at: F.struct((acc["at"] + size_of(at)).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")))
+    df = _held(df, _starts=starts["starts"])
+
+    def of_block(at, k):
+        run = F.struct(F.get("_starts", k).alias("at"), F.array().cast(SPANS).alias("spans"))
+        own = lambda acc, p: F.array(F.struct(acc["at"].alias("start"), p["n"].alias("length")))
+        add = lambda acc, p: F.struct(
+            (acc["at"] + p["n"]).alias("at"), F.when(p["loss"], F.concat(acc["spans"], own(acc, p))).otherwise(acc["spans"]).cast(SPANS).alias("spans")
         )
+        return F.aggregate(F.slice("_measured", at, F.col("_block")), run, add)["spans"]
 
-    return F.aggregate(turns, none, add)
+    return df.withColumn(out, F.flatten(F.transform("_firsts", of_block))).drop("_measured", "_block", "_firsts", "_starts")
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
@@ -93,12 +125,13 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     turn = F.struct(
         F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    sorted_turns = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    merged = sorted_turns.select("conv_id", F.explode(F.array(merge_turns(F.col("turns")))).alias("merged"))
+    sorted_turns = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("_all"))
+    held = _held(_held(sorted_turns, _turns=F.col("_all")).drop("_all"), _runs=run_starts("_turns"))
+    merged = _held(held, _merged=merge_turns("_turns", "_runs")).drop("_turns", "_runs")
     # pieces alternate between marks and escaped texts; a span is where a piece of the loss role starts
     pieces = F.flatten(
         F.transform(
-            "merged",
+            "_merged",
             lambda m: F.concat(
                 F.flatten(
                     F.transform(
@@ -113,20 +146,8 @@ def format_conversations(turns: DataFrame) -> DataFrame:
             ),
         )
     )
-    cut = merged.select("conv_id", F.explode(F.array(pieces)).alias("pieces"))
-    lengths = F.transform("pieces", lambda p: F.struct(F.length(p["piece"]).cast("bigint").alias("n"), p["loss"].alias("loss")))
-    spans = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["n"]).alias("at"),
-            F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), p["n"].alias("length")))))
-            .otherwise(acc["spans"])
-            .cast("array<struct<start:bigint,length:bigint>>")
-            .alias("spans"),
-        ),
-    )["spans"]
-    return cut.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("formatted"), spans.alias("loss_spans"))
+    cut = loss_spans(_held(merged, _pieces=pieces).drop("_merged"), "_pieces", "loss_spans")
+    return cut.select("conv_id", F.array_join(F.transform("_pieces", lambda p: p["piece"]), "").alias("formatted"), "loss_spans")
 
 
 def read_turns(formatted: Column) -> Column:
