@@ -19,8 +19,8 @@ WIDTH = 64
 HEAD_CLASSES = 32
 HEAD = WIDTH * HEAD_CLASSES
 HIDDEN = 32
-WINDOW = 16  # steps of truncated backpropagation
-LANES = 64  # documents that are trained side by side
+WINDOW = 32  # steps of truncated backpropagation
+LANES = 128  # documents that are trained side by side
 SCORE_LANES = 384
 SCORE_WINDOW = 32
 RATE = 0.08
@@ -183,8 +183,8 @@ def _step(model, x, h):
 
 
 def _softmax(v):
-    """Over rows, in place."""
-    v -= v.max(axis=1, keepdims=True)
+    """Over rows, in place. States are within 1, so logits stay small."""
+    np.clip(v, -60, 60, out=v)
     np.exp(v, out=v)
     v /= (v @ np.ones(v.shape[1], v.dtype))[:, None]
     return v
@@ -227,44 +227,55 @@ def _lanes(lengths, lanes: int):
     return sorted(out, key=lambda docs: -sum(int(lengths[d]) for d in docs))
 
 
-def _table(symbols, lengths, lanes: int):
-    """(target, source, document, active): step by lane; source is the symbol before, -1 at a start."""
-    dealt = _lanes(lengths, lanes)
-    first = np.cumsum(lengths) - lengths
-    size = [sum(int(lengths[d]) for d in docs) for docs in dealt]
-    steps = max(size, default=0)
-    at = np.zeros((len(dealt), steps), np.int64)
-    doc = np.full((len(dealt), steps), -1, np.int32)
-    for k, docs in enumerate(dealt):
-        at[k, : size[k]] = np.concatenate([np.arange(first[d], first[d] + lengths[d]) for d in docs])
-        doc[k, : size[k]] = np.repeat(docs, [lengths[d] for d in docs])
-    is_first = np.zeros(len(symbols), bool)
-    is_first[first] = True
-    target = symbols[at].T.astype(np.int32)
-    source = np.where(is_first, -1, np.concatenate(([0], symbols[:-1])))[at].T.astype(np.int32)
-    return np.ascontiguousarray(target), np.ascontiguousarray(source), np.ascontiguousarray(doc.T), np.array(size)
+class Lanes:
+    """Symbols of documents dealt to lanes. Windows are cut on demand, so memory follows the number of symbols."""
+
+    def __init__(self, symbols, lengths, lanes: int):
+        dealt = _lanes(lengths, lanes)
+        first = np.cumsum(lengths) - lengths
+        docs = np.array([d for lane in dealt for d in lane], np.int32)
+        runs = np.asarray(lengths)[docs] if len(docs) else np.zeros(0, np.int64)
+        ends = np.cumsum(runs)
+        small = np.int32 if len(symbols) < 1 << 31 else np.int64
+        self.order = np.repeat((first[docs] - ends + runs).astype(small), runs) + np.arange(int(runs.sum()), dtype=small)  # symbols, lane by lane
+        self.doc = np.repeat(docs, runs)
+        self.size = np.array([sum(int(lengths[d]) for d in lane) for lane in dealt], np.int64)
+        self.base = np.cumsum(self.size) - self.size
+        self.symbols, self.is_first = symbols, np.zeros(len(symbols), bool)
+        self.is_first[first] = True
+        self.steps = int(self.size.max(initial=0))
+
+    def window(self, t0: int, steps: int):
+        """(target, source, document, active): step by lane, over the lanes that have a step ``t0``.
+
+        ``source`` is the symbol before, -1 at a document's start; beyond a lane's end its last
+        step is repeated and not ``active``.
+        """
+        k = int(np.searchsorted(-self.size, -t0))
+        t = np.arange(t0, min(t0 + steps, self.steps))[:, None]
+        place = self.base[:k] + np.minimum(t, self.size[:k] - 1)
+        at = self.order[place]
+        source = np.where(self.is_first[at], -1, self.symbols[at - 1])
+        return self.symbols[at], source, self.doc[place], t < self.size[:k]
 
 
 def score_documents(model: dict, symbols, lengths, end_symbol: int):
     """log10 of what the network says of each document's symbols, its state carried to the document's end."""
-    target, source, doc, size = _table(symbols, lengths, SCORE_LANES)
+    lanes = Lanes(symbols, lengths, SCORE_LANES)
     out = np.zeros(len(lengths))
-    h = np.zeros((len(size), HIDDEN), np.float32)
-    for t0 in range(0, len(target), SCORE_WINDOW):
-        states, goals, docs = [], [], []
-        for t in range(t0, min(t0 + SCORE_WINDOW, len(target))):
-            k = int(np.searchsorted(-size, -t))  # lanes that still have a step t
-            src = source[t, :k]
+    h = np.zeros((len(lanes.size), HIDDEN), np.float32)
+    for t0 in range(0, lanes.steps, SCORE_WINDOW):
+        target, source, doc, active = lanes.window(t0, SCORE_WINDOW)
+        h, states = h[: target.shape[1]], []
+        for src in source:
             start = src < 0
-            hk = h[:k]
-            hk[start] = 0
-            hk = _step(model, np.where(start, end_symbol, src), hk)[0]
-            h[:k] = hk
-            states.append(hk)
-            goals.append(target[t, :k])
-            docs.append(doc[t, :k])
-        said = log10_of(model, np.concatenate(states), np.concatenate(goals))
-        out += np.bincount(np.concatenate(docs), weights=said, minlength=len(out))
+            if start.any():
+                h = np.where(start[:, None], np.float32(0), h)
+            h = _step(model, np.where(start, end_symbol, src), h)[0]
+            states.append(h)
+        active = active.ravel()
+        said = log10_of(model, np.concatenate(states)[active], target.ravel()[active])
+        out += np.bincount(doc.ravel()[active], weights=said, minlength=len(out))
     return out
 
 
@@ -285,13 +296,12 @@ class Trainer:
 
     def documents(self, symbols, lengths, end_symbol: int) -> float:
         """One pass over every symbol; returns the mean log10 probability before each update."""
-        target, source, doc, size = _table(symbols, lengths, LANES)
-        h = np.zeros((len(size), HIDDEN), np.float32)
+        lanes = Lanes(symbols, lengths, LANES)
+        h = np.zeros((len(lanes.size), HIDDEN), np.float32)
         total = 0.0
-        for t0 in range(0, len(target), WINDOW):
-            t1 = min(t0 + WINDOW, len(target))
-            k = int(np.searchsorted(-size, -t0))  # lanes that still have a step t0
-            total += self._window(target[t0:t1, :k], source[t0:t1, :k], doc[t0:t1, :k] >= 0, h[:k], end_symbol, len(size))
+        for t0 in range(0, lanes.steps, WINDOW):
+            target, source, _, active = lanes.window(t0, WINDOW)
+            total += self._window(target, source, active, h[: target.shape[1]], end_symbol, len(lanes.size))
         return total / max(len(symbols), 1)
 
     def _window(self, target, source, active, h, end_symbol, lanes) -> float:
@@ -300,14 +310,14 @@ class Trainer:
         whole, active = bool(active.all()), active.ravel()
         start = source < 0
         x = np.where(start, end_symbol, source)
-        kept = []
+        kept = np.empty((6, steps, k, HIDDEN), h.dtype)
         for t in range(steps):
-            h[start[t]] = 0
-            before = h.copy()
-            new, z, r, n, an = _step(m, x[t], before)
-            h[:] = new
-            kept.append((new, before, z, r, n, an))
-        states, before, z, r, n, an = (np.concatenate(v) for v in zip(*kept))
+            if start[t].any():
+                h[start[t]] = 0
+            kept[1, t] = h
+            kept[0, t], kept[2, t], kept[3, t], kept[4, t], kept[5, t] = _step(m, x[t], h)
+            h[:] = kept[0, t]
+        states, before, z, r, n, an = kept.reshape(6, steps * k, HIDDEN)
         goal = target.ravel()
         cls = np.where(goal < HEAD, goal // WIDTH, HEAD_CLASSES + goal - HEAD)
         rows = np.arange(len(goal))

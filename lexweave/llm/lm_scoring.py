@@ -5,7 +5,8 @@
    ``FREQUENT`` most frequent words and the totals.
 2. *Network.* A start on ``WARM_DOCS`` documents, then every task trains on every token of its
    training documents, state carried from each document's start to its end. The tasks' networks
-   are averaged in groups, weighted by tokens.
+   are averaged in groups, weighted by tokens; so the network depends, a little, on how rows are
+   split among tasks.
 3. *Scores.* One pass runs the network over every text, state carried to the text's end. What
    needs the count of a word that isn't frequent goes to the word's owner, which answers with
    sums per document.
@@ -23,7 +24,8 @@ from lexweave.llm.language_model import TAILS, Vocabulary
 
 FREQUENT = 1 << 17  # words whose counts every task knows
 WARM_DOCS = 400  # documents of the first start, those of the smallest id hashes
-HOLD = 1_200_000  # tokens that a task handles at once
+HOLD = 1_200_000  # tokens whose words a task holds at once
+RUN = 4 * HOLD  # tokens, as numbers, that its network runs over side by side: long texts then have company to their end
 FAN_IN = 16  # networks that are averaged at once
 
 
@@ -150,9 +152,10 @@ def _warm_network(train: DataFrame, vocabulary: Vocabulary, docs: int) -> dict:
 
     from lexweave.llm.language_model import HEAD, SYMBOLS, Trainer, new_model, seeded_biases, word_ids
 
-    h = F.xxhash64("doc_id")
-    last = train.select(h.alias("h")).orderBy("h").limit(docs).agg(F.max("h")).first()[0]
-    texts = [r[0].encode() for r in train.where(h <= (last or 0)).select(whole_text().alias("text")).limit(docs).collect()]
+    own = F.xxhash64("doc_id").alias("h")
+    first = train.select(own).orderBy("h").limit(docs).agg(F.max("h")).first()[0]
+    some = train.select(own, whole_text().alias("text")).where(F.col("h") <= (first or 0)).orderBy("h", "text").limit(docs)  # ties by text
+    texts = [r["text"].encode() for r in some.collect()]
     network = new_model()
     seen = np.zeros(SYMBOLS)
     known = vocabulary.rank >= 0
@@ -174,6 +177,7 @@ def learn(train: DataFrame, warm_docs: int = WARM_DOCS) -> LanguageModel:
     given = spark.sparkContext.broadcast((vocabulary, _warm_network(train, vocabulary, warm_docs), _end_symbol(vocabulary)))
 
     def fit(batches):
+        import numpy as np
         import pyarrow as pa
 
         from lexweave.llm.language_model import Trainer, word_ids
@@ -181,10 +185,24 @@ def learn(train: DataFrame, warm_docs: int = WARM_DOCS) -> LanguageModel:
         vocabulary, start, end = given.value
         network, tokens = {k: v.copy() for k, v in start.items()}, 0
         trainer = Trainer(network, seen=1.0)
+        symbols, lengths, size = [], [], 0
+
+        def train():
+            trainer.documents(np.concatenate(symbols), np.concatenate(lengths), end)
+            symbols.clear()
+            lengths.clear()
+
         for held in _groups(batches, 0):
-            ids, lengths = word_ids([t for _, t in held])
-            trainer.documents(vocabulary.look_up(ids)[1], lengths, end)
+            ids, n = word_ids([t for _, t in held])
+            symbols.append(vocabulary.look_up(ids)[1].astype(np.int32))
+            lengths.append(n)
+            size += len(ids)
             tokens += len(ids)
+            if size >= RUN:
+                train()
+                size = 0
+        if symbols:
+            train()
         if tokens:
             yield pa.record_batch([pa.array([_as_bytes(network)], pa.binary()), pa.array([tokens], pa.int64())], names=["network", "tokens"])
 
@@ -231,6 +249,19 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
         vocabulary, network, end = given.value
         key = TaskContext.get().partitionId() << 40
+        waiting, size = [], 0  # (columns, symbols, lengths) of rows that the network has yet to run over
+
+        def finished():
+            columns, symbols, lengths = (list(x) for x in zip(*waiting))
+            waiting.clear()
+            net = score_documents(network, np.concatenate(symbols), np.concatenate(lengths), end)
+            at = 0
+            for own in columns:
+                m = len(own[0])
+                yield pa.record_batch(own + [pa.array(net[at : at + m]), pa.nulls(m, pa.int32())] + [pa.nulls(m, pa.binary())] * 3, names=names)
+                at += m
+
+        names = ["key", "doc_id", "n_tokens", "n_known", "seen_log", "tail_log", "tail_norm", "net", "owner", "ids", "keys", "runs"]
         for held in _groups(batches, 1):
             ids, lengths = word_ids([t for _, t in held])
             place, symbol = vocabulary.look_up(ids)
@@ -242,14 +273,12 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
             tail = symbol >= HEAD
             norm = np.where(tail, vocabulary.tail_norm[np.maximum(symbol - HEAD, 0)], 0.0)
             add = lambda w: np.bincount(doc, weights=w, minlength=len(held))
-            net = score_documents(network, symbol, lengths, end)
             rows = [
                 pa.array(keys), pa.array([d for d, _ in held], pa.int64()), pa.array(lengths.astype(np.int64)), pa.array(add(seen).astype(np.int64)),
-                pa.array(add(logs)), pa.array(add(logs * tail)), pa.array(add(norm)), pa.array(net),
+                pa.array(add(logs)), pa.array(add(logs * tail)), pa.array(add(norm)),
             ]
-            none = [pa.nulls(len(held), pa.int32())] + [pa.nulls(len(held), pa.binary())] * 3
-            names = ["key", "doc_id", "n_tokens", "n_known", "seen_log", "tail_log", "tail_norm", "net", "owner", "ids", "keys", "runs"]
-            yield pa.record_batch(rows + none, names=names)
+            waiting.append((rows, symbol.astype(np.int32), lengths))
+            size += len(ids)
             ids, doc = ids[~seen], doc[~seen]
             if len(ids):
                 owner = ((ids >> np.uint64(TAIL_BITS)) % np.uint64(owners)).astype(np.int32)
@@ -264,6 +293,11 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     + [pa.array(owner[at]), pa.array([ids[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([keys[d].tobytes() for d, _ in runs], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in runs], pa.binary())],
                     names=names,
                 )
+            if size >= RUN:
+                yield from finished()
+                size = 0
+        if waiting:
+            yield from finished()
 
     def answer(asked, counts):
         import numpy as np
