@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import whole_text
+from lexweave.llm.common import given_back, whole_text
 
 END_ID = 1
 MAX_LENGTH = 2048
@@ -70,8 +70,9 @@ def pack(docs: DataFrame, tokenizer_path: str, max_length: int = MAX_LENGTH, end
                             ],
                             names=["doc_id", "start", "length", "doc_tokens", "bucket", "sequence_id", "ids"],
                         )
+        enc.forget()
 
-    pieces = docs.select(F.col("doc_id").cast("bigint"), whole_text().alias("text")).mapInArrow(cut, PIECES)
+    pieces = docs.select(F.col("doc_id").cast("bigint"), whole_text().alias("text")).mapInArrow(lambda b: given_back(cut(b)), PIECES)
     return pieces.withColumn("offset", F.lit(0).cast("bigint"))
 
 

@@ -20,7 +20,7 @@ import numpy as np
 #: The parts of a tokenizer description that make white space a boundary.
 WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-MEMO_WORDS = 1_000_000  # words, and as many pieces, that a worker remembers
+MEMO_WORDS = 200_000  # words, and as many pieces, that a worker remembers within a task
 
 # What white-space splitting and plain lower-casing leave alone: printable characters below U+0180 but U+0130.
 _plain = re.compile("[ -~\xa1-\u012f\u0131-\u017f]+")
@@ -30,9 +30,10 @@ _encoders: dict[str, "WordEncoder"] = {}
 
 
 def encoder(path: str) -> "WordEncoder":
-    """One encoder per process and vocabulary; its memo lives on between tasks."""
+    """One encoder per process and vocabulary, with an empty memo: idle workers keep none."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
+    _encoders[path].forget()
     return _encoders[path]
 
 
@@ -87,7 +88,7 @@ class WordEncoder:
         suffix = about["model"].get("end_of_word_suffix")
         self.by_word = norm == WORD_NORMALIZERS and split == WORD_PATTERN and bool(suffix)
         self.vocab_size = self.full.get_vocab_size(with_added_tokens=True)
-        self._forget()
+        self.forget()
         if self.by_word:
             self.specials = [t["content"] for t in about.get("added_tokens", [])]
             self.bare = Tokenizer.from_file(path)
@@ -99,7 +100,7 @@ class WordEncoder:
             for token, i in about["model"]["vocab"].items():
                 self.is_end[i] = token.endswith(suffix)
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.words, self.word_ids = _Codes(), _Pool()
         self.pieces, self.piece_ids = _Codes(), _Pool()
 
@@ -147,7 +148,7 @@ class WordEncoder:
         if not self.by_word:
             return [self._full(t.decode("utf-8")).tobytes() for t in texts]
         if len(self.words) > MEMO_WORDS or len(self.pieces) > MEMO_WORDS:
-            self._forget()
+            self.forget()
         gc.disable()  # only lists of strings are made below; tracing them costs a quarter of the time
         try:
             return self._encode_words([t.split() for t in texts])
