@@ -1,8 +1,10 @@
 """N-gram overlap: how much of an answer's wording its source holds.
 
 Answers meet their articles in one join on the URL; the grams of both sides are then compared
-inside the row. No gram is ever shuffled, and the source grams of an article are built once per
-joined row by the JVM, next to the text that they come from.
+inside the row. No gram is ever shuffled. A gram is the tuple of the 64-bit hashes of its words,
+hashed again, so it is a number from the start: no gram is ever joined to a string, sets are of
+numbers, and texts that are both answer and source are tokenised once and travel as arrays. Two
+different grams of one pair get one number with a chance of about their pairs over 2**64.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from lexweave.functions.text import ngrams, tokens, utc_seconds
 from lexweave.sources.config import ScoringConfig
 
-BROADCAST_ROWS = 5_000  # articles that are broadcast at most
+BROADCAST_BYTES = 32 << 20  # of a side that is broadcast; beyond, the join shuffles
 
 
 def evaluated(df: DataFrame, **columns: Column) -> DataFrame:
@@ -22,31 +24,48 @@ def evaluated(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def gram_hashes(words: Column, n: int) -> Column:
+    """The hash of each run of ``n`` words, in order; empty if there are fewer."""
+    count = F.size(words) - F.lit(n - 1)
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]))
+    return F.when(count >= 1, runs).otherwise(F.array().cast("array<bigint>"))
+
+
 def _with_matches(df: DataFrame) -> DataFrame:
     """Add matched_ngrams: how many grams of ``_ag``, each time they occur, are in ``_sg``.
 
-    Sets are hashed, so grams that occur once cost linear time; repeats are counted apart. Each
-    array that a lambda looks into is a column of its own, else it would be built anew per element.
+    Set operations are hashed. Where something is shared, the answer's grams are sorted and
+    counted in runs, and one walk over the runs and the sorted shared grams adds up; no look-up
+    is a scan. Each array that a lambda looks into is a column of its own, else it would be built
+    anew per element.
     """
-    df = evaluated(df, _lone=F.size(F.array_distinct("_ag")), _missing=F.size(F.array_except("_ag", "_sg")))
-    ordered = F.when(F.col("_lone") < F.size("_ag"), F.array_sort("_ag")).otherwise(F.array().cast("array<string>"))
-    df = evaluated(df, _ordered=ordered)
-    df = evaluated(df, _extra=F.filter("_ordered", lambda x, i: (i > 0) & (x == F.get("_ordered", i - 1)))).drop("_ordered")
-    df = evaluated(df, _absent=F.array_except("_extra", "_sg"))
-    repeats = F.size(F.filter("_extra", lambda x: ~F.array_contains("_absent", x)))
-    df = df.withColumn("matched_ngrams", (F.col("_lone") - F.col("_missing") + repeats).cast("bigint"))
-    return df.drop("_lone", "_missing", "_extra", "_absent")
+    none = F.array().cast("array<bigint>")
+    df = evaluated(df, _shared=F.array_sort(F.array_intersect("_ag", "_sg")))
+    df = evaluated(df, _sorted=F.when(F.size("_shared") > 0, F.array_sort("_ag")).otherwise(none))
+    every = F.when(F.size("_sorted") > 0, F.sequence(F.lit(0), F.size("_sorted") - 1)).otherwise(F.array().cast("array<int>"))
+    df = evaluated(df, _starts=F.filter(every, lambda i: (i == 0) | (F.get("_sorted", i) != F.get("_sorted", i - 1))))
+    runs = F.transform("_starts", lambda at, k: F.struct(F.get("_sorted", at).alias("gram"), (F.coalesce(F.get("_starts", k + 1), F.size("_sorted")) - at).alias("n")))
+    df = evaluated(df, _runs=runs).drop("_sorted", "_starts")
 
+    def walk(acc, run):
+        hit = F.coalesce(F.get("_shared", acc["next"]) == run["gram"], F.lit(False)).cast("int")
+        return F.struct((acc["next"] + hit).alias("next"), (acc["found"] + hit * run["n"]).alias("found"))
 
-def with_overlap(pairs: DataFrame, answer: str, source: str, config: ScoringConfig) -> DataFrame:
-    """``pairs`` with score (not rounded), matched_ngrams, total_ngrams, scorable and scoring_version.
+    start = F.struct(F.lit(0).alias("next"), F.lit(0).cast("bigint").alias("found"))
+    return df.withColumn("matched_ngrams", F.aggregate("_runs", start, walk)["found"]).drop("_shared", "_runs")
 
-    A null text is empty. An answer too short for one n-gram scores 0.0 and is not scorable.
-    """
-    df = evaluated(pairs, _aw=tokens(F.col(answer), config), _sw=tokens(F.col(source), config))
-    df = evaluated(df, _ag=ngrams(F.col("_aw"), config.ngram_size), _sg=ngrams(F.col("_sw"), config.ngram_size)).drop("_aw", "_sw")
-    df = _with_matches(df).drop("_sg")
-    df = df.withColumn("total_ngrams", F.size("_ag").cast("bigint")).drop("_ag")
+
+def with_grams(texts: DataFrame, text: str, out: str, config: ScoringConfig) -> DataFrame:
+    """``texts`` with the gram hashes of a text, null counting as empty, instead of the text."""
+    df = evaluated(texts, _words=tokens(F.col(text), config))
+    df = evaluated(df, **{f"{out}_new": gram_hashes(F.col("_words"), config.ngram_size)})
+    return df.drop("_words", text).withColumnRenamed(f"{out}_new", out)
+
+
+def scored_grams(pairs: DataFrame, config: ScoringConfig) -> DataFrame:
+    """Pairs with ``_ag`` and ``_sg``, the grams of answer and source: the score columns in their place."""
+    df = evaluated(pairs, total_ngrams=F.size("_ag").cast("bigint"))
+    df = _with_matches(df).drop("_sg", "_ag")
     some = F.col("total_ngrams") > 0
     return df.withColumns(
         {
@@ -57,6 +76,16 @@ def with_overlap(pairs: DataFrame, answer: str, source: str, config: ScoringConf
     )
 
 
+def with_overlap(pairs: DataFrame, answer: str, source: str, config: ScoringConfig) -> DataFrame:
+    """``pairs`` with score (not rounded), matched_ngrams, total_ngrams, scorable and scoring_version.
+
+    A null text is empty. An answer too short for one n-gram scores 0.0 and is not scorable.
+    """
+    df = evaluated(pairs, _aw=tokens(F.col(answer), config), _sw=tokens(F.col(source), config))
+    df = evaluated(df, _ag=gram_hashes(F.col("_aw"), config.ngram_size), _sg=gram_hashes(F.col("_sw"), config.ngram_size)).drop("_aw", "_sw")
+    return scored_grams(df, config)
+
+
 def gram_table(texts: DataFrame, key: str, text: str, config: ScoringConfig, distinct: bool = False) -> DataFrame:
     """(key, pos, gram) of each text, or the distinct (key, gram)."""
     words = evaluated(texts.select(key, F.col(text).alias("_t")), _w=tokens(F.col("_t"), config)).drop("_t")
@@ -66,6 +95,23 @@ def gram_table(texts: DataFrame, key: str, text: str, config: ScoringConfig, dis
     return words.select(key, F.posexplode(grams).alias("pos", "gram")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
+def item_hits(items: DataFrame, item: str, docs: DataFrame, doc: str, text: str, config: ScoringConfig) -> DataFrame:
+    """(item, doc, matched_ngrams, total_ngrams) for each item and document that share a gram.
+
+    Documents' grams are told from the items' in the task that made them where the items' fit a
+    broadcast (counted), so only hits are shuffled.
+    """
+    own = with_grams(items.select(item, F.col(text).alias("_t")), "_t", "_g", config)
+    total = own.select(item, F.size("_g").cast("bigint").alias("total_ngrams"))
+    asked = own.select(item, F.explode("_g").alias("gram")).groupBy(item, "gram").agg(F.count(F.lit(1)).alias("times"))
+    if asked.limit(BROADCAST_BYTES // 64 + 1).count() <= BROADCAST_BYTES // 64:
+        asked = F.broadcast(asked)
+    held = with_grams(docs.select(doc, F.col(text).alias("_t")), "_t", "_g", config)
+    hits = held.select(doc, F.explode(F.array_distinct("_g")).alias("gram")).join(asked, "gram")
+    once = hits.groupBy(item, doc, "gram").agg(F.max("times").alias("times"))  # a doc_id may have several rows
+    return once.groupBy(item, doc).agg(F.sum("times").alias("matched_ngrams")).join(total, item)
+
+
 def last_per_url(articles: DataFrame, ordinal: str = "ordinal", url: str = "url") -> DataFrame:
     """One row per URL: the last one by ``ordinal``."""
     whole = F.struct(*[F.col(c) for c in articles.columns])
@@ -80,13 +126,15 @@ def score_answers(answers: DataFrame, articles: DataFrame, config: ScoringConfig
     """
     if "ordinal" not in articles.columns:
         articles = articles.withColumn("ordinal", F.monotonically_increasing_id())
-    known = last_per_url(articles).select(
-        F.col("url").alias("_url"), F.col("title").alias("article_title"), F.col("text").alias("_source"), F.col("text_sha256").alias("article_sha256")
-    )
-    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    size = articles.agg(F.sum(F.octet_length("text") + 200)).first()[0] or 0  # 8 bytes a gram, and a gram has some
+    # grams where the articles are read; behind the shuffle by URL there may be few tasks
+    known = last_per_url(with_grams(articles.select("url", "title", "text", "text_sha256", "ordinal"), "text", "_sg", config))
+    known = known.select(F.col("url").alias("_url"), F.col("title").alias("article_title"), F.col("text_sha256").alias("article_sha256"), "_sg")
+    if size <= BROADCAST_BYTES:
         known = F.broadcast(known)
-    pairs = answers.join(known, answers["article_url"] == known["_url"], "inner").drop("_url")
-    scored = with_overlap(pairs, "answer", "_source", config)
+    asked = evaluated(answers, _aw=tokens(F.col("answer"), config))
+    asked = evaluated(asked, _ag=gram_hashes(F.col("_aw"), config.ngram_size)).drop("_aw")
+    scored = scored_grams(asked.join(known, asked["article_url"] == known["_url"], "inner").drop("_url"), config)
     order = [c for c in ("ordinal",) if c in answers.columns]
     return scored.select(
         *order,
@@ -97,14 +145,22 @@ def score_answers(answers: DataFrame, articles: DataFrame, config: ScoringConfig
     )
 
 
-def previous_by(docs: DataFrame, group: str, key: str, text: str) -> DataFrame:
-    """(key, group, text, source_key, source_text): each document with the one before it in its group.
+def previous_scores(docs: DataFrame, group: str, key: str, text: str, config: ScoringConfig) -> DataFrame:
+    """(key, group, source_key, score columns): each document scored against the one before it in its group.
 
-    The window sorts keys only; texts are joined to the pairs afterwards.
+    ``key`` names a document; of rows that repeat one, any may speak for it. The window sorts
+    keys only. Each text is tokenised once; its grams go to its own pair and to
+    the pair of the document behind it, so one shuffle brings both sides of a pair together.
     """
     order = Window.partitionBy(group).orderBy(key)
-    pairs = docs.select(key, group).withColumn("source_key", F.lag(key).over(order)).where("source_key IS NOT NULL")
-    texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
-    own = pairs.join(texts, pairs[key] == texts["_k"]).select(key, group, F.col("_t").alias("text"), "source_key")
-    before = docs.select(F.col(key).alias("_k"), F.col(text).alias("source_text"))
-    return own.join(before, own["source_key"] == before["_k"]).drop("_k")
+    pairs = docs.select(key, group).withColumns({"source_key": F.lag(key).over(order), "next_key": F.lead(key).over(order)})
+    pairs = pairs.withColumnRenamed(key, "_k")
+    grams = with_grams(docs.select(F.col(key).alias("_own"), F.col(text).alias("_t")), "_t", "_g", config)
+    known = grams.join(pairs, grams["_own"] == pairs["_k"])
+    seat = F.array(F.struct(F.col("_k").alias("pair"), F.lit(True).alias("answers")), F.struct(F.col("next_key").alias("pair"), F.lit(False).alias("answers")))
+    seats = known.select(group, "source_key", "_g", F.inline(seat)).where("pair IS NOT NULL AND NOT (answers AND source_key IS NULL)")
+    met = seats.groupBy("pair").agg(
+        F.max(F.when(F.col("answers"), F.col(group))).alias(group), F.max(F.when(F.col("answers"), F.col("source_key"))).alias("source_key"),
+        F.any_value(F.when(F.col("answers"), F.col("_g")), True).alias("_ag"), F.any_value(F.when(~F.col("answers"), F.col("_g")), True).alias("_sg"),
+    )
+    return scored_grams(met.withColumnRenamed("pair", key), config)

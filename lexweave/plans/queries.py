@@ -10,7 +10,7 @@ from lexweave.functions.text import (
     authority, cache_name, ngrams, normalise_space, parse_questions, robots_url, short_label, strip_diacritics, tokens,
 )
 from lexweave.operators.agreement import agreement
-from lexweave.operators.overlap import evaluated, gram_table, last_per_url, previous_by, score_answers, with_overlap
+from lexweave.operators.overlap import evaluated, gram_table, item_hits, previous_scores, score_answers, with_overlap
 from lexweave.operators.report import summarise
 from lexweave.operators.sampling import stratified_sample
 from lexweave.sources.config import ScoringConfig
@@ -37,8 +37,8 @@ def distinct_source_ngrams(spark, sf_dir):
 
 
 def _doc_scores(spark, sf_dir):
-    pairs = previous_by(_read(spark, sf_dir, "documents"), "source", "doc_id", "text")
-    return with_overlap(pairs, "text", "source_text", RULE).withColumn("score", F.bround("score", 6))
+    scores = previous_scores(_read(spark, sf_dir, "documents"), "source", "doc_id", "text", RULE)
+    return scores.withColumn("score", F.bround("score", 6))
 
 
 def overlap_doc_pairs(spark, sf_dir):
@@ -54,24 +54,20 @@ def overlap_conversation(spark, sf_dir):
 
 
 def overlap_benchmark_docs(spark, sf_dir):
-    """Each benchmark item against each document that shares a gram with it; grams meet by hash, then as text."""
-    items = gram_table(_read(spark, sf_dir, "benchmark"), "item_id", "text", RULE)
-    total = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("total_ngrams"))
-    asked = items.groupBy("item_id", "gram").agg(F.count(F.lit(1)).alias("times"))
-    held = gram_table(_read(spark, sf_dir, "documents"), "doc_id", "text", RULE, distinct=True)
-    hits = held.hint("merge").join(asked, "gram").groupBy("item_id", "doc_id").agg(F.sum("times").alias("matched_ngrams"))
-    return hits.join(total, "item_id").select(
+    """Each benchmark item against each document that shares a gram with it."""
+    hits = item_hits(_read(spark, sf_dir, "benchmark"), "item_id", _read(spark, sf_dir, "documents"), "doc_id", "text", RULE)
+    return hits.select(
         "item_id", "doc_id", "matched_ngrams", "total_ngrams", F.bround(F.col("matched_ngrams") / F.col("total_ngrams"), 6).alias("score")
     )
 
 
 def score_join_last_wins(spark, sf_dir):
-    """Articles named by source and id modulo 50: later documents replace earlier ones; odd ids answer."""
+    """Every document answers, and is an article named by source and length: the last of a name replaces the others."""
     docs = _read(spark, sf_dir, "documents")
-    url = F.concat("source", F.lit("/"), (F.col("doc_id") % 50).cast("string"))
-    articles = docs.where("doc_id % 2 = 0").select(url.alias("url"), F.lit("").alias("title"), "text", F.sha2("text", 256).alias("text_sha256"), F.col("doc_id").alias("ordinal"))
+    url = F.concat("source", F.lit("/"), F.col("n_chars").cast("string"))
+    articles = docs.select(url.alias("url"), F.lit("").alias("title"), "text", F.sha2("text", 256).alias("text_sha256"), F.col("doc_id").alias("ordinal"))
     blank = F.lit("")
-    answers = docs.where("doc_id % 3 = 0").select(
+    answers = docs.select(
         F.col("doc_id").alias("ordinal"), F.col("doc_id").cast("string").alias("question_id"), url.alias("article_url"), blank.alias("question"), F.col("text").alias("answer"),
         *[blank.alias(c) for c in ("system_prompt", "user_prompt", "model_requested", "model_served", "created_at")],
     )
@@ -193,9 +189,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT a.item_id, d.doc_id, CAST(sum(times) AS BIGINT) AS matched_ngrams, CAST(any_value(total) AS BIGINT) AS total_ngrams,
               round_even(CAST(sum(times) AS DOUBLE) / any_value(total), 6) AS score
             FROM a JOIN d ON a.gram = d.gram JOIN t ON t.item_id = a.item_id GROUP BY 1, 2""",
-        "score_join_last_wins": "WITH art AS (SELECT source || '/' || (doc_id % 50) AS url, arg_max(text, doc_id) AS text FROM documents WHERE doc_id % 2 = 0 GROUP BY 1)," + scored(
+        "score_join_last_wins": "WITH art AS (SELECT source || '/' || n_chars AS url, arg_max(text, doc_id) AS text FROM documents GROUP BY 1)," + scored(
             """SELECT CAST(doc_id AS VARCHAR) AS question_id, url AS article_url, sha256(art.text) AS article_sha256, documents.text AS a, art.text AS s
-               FROM documents JOIN art ON art.url = source || '/' || (doc_id % 50) WHERE doc_id % 3 = 0""") + " SELECT question_id, article_url, article_sha256, matched_ngrams, total_ngrams, score, scorable FROM scores",
+               FROM documents JOIN art ON art.url = source || '/' || n_chars""") + " SELECT question_id, article_url, article_sha256, matched_ngrams, total_ngrams, score, scorable FROM scores",
         "report_summary": f"""{doc_scores}
             SELECT CASE WHEN grouping(source) = 1 THEN 'ALL' ELSE source END AS label, CAST(count(*) AS BIGINT) AS n,
               CAST(count(*) FILTER (WHERE scorable) AS BIGINT) AS scored, round(avg(score) FILTER (WHERE scorable), 9) AS mean_score,
