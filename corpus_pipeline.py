@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import read_table, stored
+from lexweave.llm.common import read_table, stored, temporaries
 from lexweave.llm.exact_dedup import drop_exact_duplicates
 from lexweave.llm.language_id import UNKNOWN, identify, learn
 from lexweave.llm.mixing import mix
@@ -63,5 +63,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline_{name}")
+        with temporaries(spark) as outside:
+            docs = outside(stage(spark, docs, sf_dir), f"pipeline_{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
