@@ -146,7 +146,7 @@ def learn(train: DataFrame, size: int = PROFILE) -> Profiles:
         import pyarrow as pa
 
         kept: dict = {}
-        for batch in batches:
+        for batch in (b.slice(a, 512) for b in batches for a in range(0, b.num_rows, 512)):
             pending: dict = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for piece in _pieces(text):

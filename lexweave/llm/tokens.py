@@ -20,7 +20,7 @@ import numpy as np
 #: The parts of a tokenizer description that make white space a boundary.
 WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-MEMO_WORDS = 200_000  # words, and as many pieces, that a worker remembers within a task
+MEMO_WORDS = 100_000  # words, and as many pieces, that a worker remembers within a task
 
 # What white-space splitting and plain lower-casing leave alone: printable characters below U+0180 but U+0130.
 _plain = re.compile("[ -~\xa1-\u012f\u0131-\u017f]+")
@@ -164,17 +164,18 @@ class WordEncoder:
         return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])]
 
 
-def text_slices(column, limit: int = 4_000_000, rows: int = 512):
-    """(first row, UTF-8 texts) of an Arrow string column, a few MB at a time; null is empty."""
+def text_slices(column, limit: int = 1_000_000, rows: int = 256):
+    """(first row, UTF-8 texts) of an Arrow string column, about a MB at a time; null is empty."""
     import pyarrow as pa
 
-    column = column.cast(pa.large_binary())
-    start, held, size = 0, [], 0
-    for i in range(len(column)):
-        held.append(column[i].as_py() or b"")
-        size += len(held[-1])
-        if size >= limit or len(held) >= rows:
+    for a in range(0, len(column), rows):
+        part = column.slice(a, rows).cast(pa.large_binary())
+        start, held, size = a, [], 0
+        for i in range(len(part)):
+            held.append(part[i].as_py() or b"")
+            size += len(held[-1])
+            if size >= limit:
+                yield start, held
+                start, held, size = a + i + 1, [], 0
+        if held:
             yield start, held
-            start, held, size = i + 1, [], 0
-    if held:
-        yield start, held
