@@ -29,10 +29,11 @@ def binary_lengths(n: int, longest: int) -> list[int]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, max_length: int = MAX_LENGTH, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, max_length: int = MAX_LENGTH, end_id: int = END_ID, memo_words: int | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, bucket, sequence_id, ids (u32 little-endian), offset.
 
-    ``bucket`` is the logarithm of the length. A null or empty text is the end id alone: one piece
+    ``memo_words`` bounds the words that a worker remembers: memory against time, the result is
+    the same. ``bucket`` is the logarithm of the length. A null or empty text is the end id alone: one piece
     of length 1. Null and repeated ids pass through row by row. An empty table gives an empty
     result; other columns are ignored. ``max_length`` must be a power of two.
     """
@@ -44,9 +45,9 @@ def pack(docs: DataFrame, tokenizer_path: str, max_length: int = MAX_LENGTH, end
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from lexweave.llm.tokens import encoder, text_slices
+        from lexweave.llm.tokens import MEMO_WORDS, encoder, text_slices
 
-        enc, end = encoder(tokenizer_path), int(end_id).to_bytes(4, "little")
+        enc, end = encoder(tokenizer_path, memo_words or MEMO_WORDS), int(end_id).to_bytes(4, "little")
         task, numbered = TaskContext.get().partitionId() << TASK_BITS, [0] * max_length.bit_length()
         for batch in batches:
             doc_ids = batch.column(0)

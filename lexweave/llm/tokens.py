@@ -20,7 +20,7 @@ import numpy as np
 #: The parts of a tokenizer description that make white space a boundary.
 WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-MEMO_WORDS = 100_000  # words, and as many pieces, that a worker remembers within a task
+MEMO_WORDS = 600_000  # words, and as many pieces, that a worker remembers within a task
 
 # What white-space splitting and plain lower-casing leave alone: printable characters below U+0180 but U+0130.
 _plain = re.compile("[ -~\xa1-\u012f\u0131-\u017f]+")
@@ -29,11 +29,12 @@ _pieces = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u01
 _encoders: dict[str, "WordEncoder"] = {}
 
 
-def encoder(path: str) -> "WordEncoder":
+def encoder(path: str, memo_words: int = MEMO_WORDS) -> "WordEncoder":
     """One encoder per process and vocabulary, with an empty memo: idle workers keep none."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     _encoders[path].forget()
+    _encoders[path].memo_words = memo_words
     return _encoders[path]
 
 
@@ -80,7 +81,7 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.full = Tokenizer.from_file(path)
+        self.full, self.memo_words = Tokenizer.from_file(path), MEMO_WORDS
         with open(path, encoding="utf-8") as f:
             about = json.load(f)
         norm = [n["type"] for n in (about.get("normalizer") or {}).get("normalizers", [])]
@@ -147,7 +148,7 @@ class WordEncoder:
         """The ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
         if not self.by_word:
             return [self._full(t.decode("utf-8")).tobytes() for t in texts]
-        if len(self.words) > MEMO_WORDS or len(self.pieces) > MEMO_WORDS:
+        if len(self.words) > self.memo_words or len(self.pieces) > self.memo_words:
             self.forget()
         gc.disable()  # only lists of strings are made below; tracing them costs a quarter of the time
         try:
