@@ -111,34 +111,139 @@ def _drop_chrome(root: Element) -> None:
         todo.extend(c for c in x.children if isinstance(c, Element))
 
 
-_SIMPLE = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[#.][\w-]+)*)")
-
-
-def _fits(node: Element, simple: str) -> bool:
-    m = _SIMPLE.fullmatch(simple)
-    if not m or not simple:
-        return False
-    if m[1] and m[1] != "*" and node.tag != m[1].lower():
+_SIMPLE = re.compile(
+    r"""(?P<tag>[a-zA-Z][\w-]*|\*)|\#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)
+    |\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[~|^$*]?=)\s*(?P<val>"[^"]*"|'[^']*'|[^\]\s"']+)\s*)?\]
+    |:(?P<pseudo>[\w-]+)(?:\((?P<arg>(?:[^()]|\([^()]*\))*)\))?""",
+    re.VERBOSE,
+)
+_JOINS = re.compile(r"\s*([>+~])\s*|\s+")
+_VALUE_TESTS = {
+    "=": lambda have, want: have == want,
+    "~=": lambda have, want: want in have.split(),
+    "|=": lambda have, want: have == want or have.startswith(want + "-"),
+    "^=": lambda have, want: want != "" and have.startswith(want),
+    "$=": lambda have, want: want != "" and have.endswith(want),
+    "*=": lambda have, want: want != "" and want in have,
+}
+
+
+class SelectorError(ValueError):
+    """A selector can't be read or uses a part that isn't known."""
+
+
+def _siblings(node: Element) -> list[Element]:
+    return [c for c in node.parent.children if isinstance(c, Element)] if node.parent else [node]
+
+
+def _nth(arg: str) -> tuple[int, int]:
+    """(step, first) of an ``an+b`` expression, ``odd`` or ``even``."""
+    arg = arg.replace(" ", "").lower()
+    if arg in ("odd", "even"):
+        return 2, int(arg == "odd")
+    m = re.fullmatch(r"(?:([+-]?\d*)n)?([+-]?\d+)?", arg)
+    if not m or not arg:
+        raise SelectorError(f"no position: {arg!r}")
+    step = 0 if m[1] is None else int(m[1] + "1" if m[1] in ("", "+", "-") else m[1])
+    return step, int(m[2] or 0)
+
+
+def _pseudo(name: str, arg: str | None):
+    """A test of an element for ``:name(arg)``."""
+    if name == "not":
+        inner = _alternatives(arg or "")
+        return lambda x: not any(_reaches(x, path) for path in inner)
+    if name == "empty":
+        return lambda x: not any(isinstance(c, Element) or c for c in x.children)
+    last, typed = "last" in name, name.endswith("-of-type")
+    if name.removesuffix("-of-type").removesuffix("-child") in ("nth", "nth-last"):
+        step, first = _nth(arg or "")
+    elif name in ("first-child", "last-child", "first-of-type", "last-of-type"):
+        step, first = 0, 1
+    elif name in ("only-child", "only-of-type"):
+        return lambda x: sum(not typed or c.tag == x.tag for c in _siblings(x)) == 1
+    else:
+        raise SelectorError(f"unknown pseudo-class :{name}")
+
+    def counted(x):
+        row = [c for c in _siblings(x) if not typed or c.tag == x.tag]
+        at = next(i for i, c in enumerate(reversed(row) if last else row, 1) if c is x)
+        return at == first if step == 0 else (at - first) % step == 0 and (at - first) // step >= 0
+
+    return counted
+
+
+def _part(m: re.Match):
+    if m["tag"]:
+        return lambda x: m["tag"] in ("*", x.tag) or m["tag"].lower() == x.tag
+    if m["id"]:
+        return lambda x: x.attrs.get("id") == m["id"]
+    if m["cls"]:
+        return lambda x: m["cls"] in (x.attrs.get("class") or "").split()
+    if m["attr"]:
+        name, op = m["attr"].lower(), m["op"]
+        if not op:
+            return lambda x: name in x.attrs
+        want = m["val"][1:-1] if m["val"][0] in "\"'" else m["val"]
+        return lambda x: name in x.attrs and _VALUE_TESTS[op](x.attrs[name] or "", want)
+    return _pseudo(m["pseudo"].lower(), m["arg"])
+
+
+def _alternatives(selector: str) -> list[list]:
+    """For each comma part its compounds from right to left: (how it joins the next one leftwards, tests)."""
+    out, path, tests, at = [], [], [], 0
+    selector = selector.strip()
+    while at < len(selector):
+        if m := _SIMPLE.match(selector, at):
+            if m["tag"] and tests:
+                raise SelectorError(f"a name inside a compound: {selector!r}")
+            tests.append(_part(m))
+        elif m := re.compile(r"\s*,\s*").match(selector, at):
+            if not tests:
+                raise SelectorError(f"an empty alternative: {selector!r}")
+            out.append([("", tests), *path])
+            path, tests = [], []
+        elif (m := _JOINS.match(selector, at)) and tests:
+            path.insert(0, (m[1] or " ", tests))
+            tests = []
+        else:
+            raise SelectorError(f"can't read {selector!r} at {selector[at:]!r}")
+        at = m.end()
+    if not tests:
+        raise SelectorError(f"an empty alternative: {selector!r}")
+    return [*out, [("", tests), *path]]
+
+
+def _left_of(node: Element, join: str):
+    """Elements that a combinator allows to the left of ``node``."""
+    if join in " >":
+        up = node.parent
+        while up is not None and up.parent is not None:
+            yield up
+            if join == ">":
+                return
+            up = up.parent
+        return
+    row = _siblings(node)
+    before = row[: next(i for i, c in enumerate(row) if c is node)]
+    yield from before[-1:] if join == "+" else reversed(before)
+
+
+def _reaches(node: Element, path: list) -> bool:
+    (_, tests), rest = path[0], path[1:]
+    if not all(t(node) for t in tests):
         return False
-    classes = (node.attrs.get("class") or "").split()
-    return all((node.attrs.get("id") == x[1:]) if x[0] == "#" else (x[1:] in classes) for x in re.findall(r"[#.][\w-]+", m[2]))
+    return not rest or any(_reaches(x, rest) for x in _left_of(node, rest[0][0]))
 
 
 def select(root: Element, selector: str) -> Element | None:
-    """First element that a selector of tags, #ids, .classes, descendants and commas fits."""
-    paths = [p.split() for p in selector.split(",") if p.strip()]
-    for node in root.walk():
-        for path in paths:
-            if not _fits(node, path[-1]):
-                continue
-            up, left = node.parent, path[:-1]
-            while up is not None and left:
-                if _fits(up, left[-1]):
-                    left = left[:-1]
-                up = up.parent
-            if not left:
-                return node
-    return None
+    """First element in document order that a CSS selector fits.
+
+    Names, #ids, .classes, attributes, the four combinators, commas, ``:not()``, ``:empty`` and the
+    pseudo-classes of position are known; anything else raises :class:`SelectorError`.
+    """
+    paths = _alternatives(selector)
+    return next((x for x in root.walk() if any(_reaches(x, p) for p in paths)), None)
 
 
 def _first(root: Element, tag: str) -> Element | None:
@@ -190,7 +295,12 @@ def extract(page: str, selector: str = "") -> tuple[str, str, str | None]:
 
 
 def page_text(page: Column, selector: str = "") -> Column:
-    """struct<title, text, error> of an HTML column; null pages count as empty."""
+    """struct<title, text, error> of an HTML column; null pages count as empty.
+
+    A selector that can't be read raises :class:`SelectorError` here, before any page is.
+    """
+    if selector:
+        _alternatives(selector)
 
     @pandas_udf("title string, text string, error string")
     def each(pages):

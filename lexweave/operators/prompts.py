@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lexweave.functions.text import parse_questions, utc_seconds
 from lexweave.operators.sampling import numbered
@@ -44,7 +45,7 @@ def answer_prompts(questions: DataFrame) -> DataFrame:
 def usable_replies(raw: DataFrame, config: ModelConfig) -> DataFrame:
     """Replies with an ``error`` column: null where usable.
 
-    ``raw`` may have status, block_reason and finish_reason; text is stripped, and the served
+    ``raw`` may have status, block_reason, finish_reason and call_error; text is stripped, and the served
     model falls back to the requested one.
     """
     text = F.trim(F.coalesce("text", F.lit("")))
@@ -59,23 +60,36 @@ def usable_replies(raw: DataFrame, config: ModelConfig) -> DataFrame:
         code = F.col("status")
         said = F.when(code == 429, "rate limited").when(code.isin(401, 403), "the key was rejected").otherwise(F.concat(F.lit("the service returned "), code.cast("string")))
         error = F.when(code != 200, said).otherwise(error)
+    if "call_error" in raw.columns:
+        error = F.coalesce("call_error", error)
     return raw.withColumns(
         {"error": error, "text": text, "model_served": F.coalesce("model_served", "model_requested", F.lit(config.model)), "model_requested": F.coalesce("model_requested", F.lit(config.model))}
     )
 
 
 def ask(prompts: DataFrame, call: Callable[[str, str], tuple[str, str]], config: ModelConfig) -> DataFrame:
-    """Reply rows for distinct prompts: ``call(system, user)`` returns text and served model id."""
+    """Reply rows for distinct prompts: ``call(system, user)`` returns text and served model id.
+
+    A call that raises gives a row without text whose ``call_error`` says what was raised; the others go on.
+    """
     model = config.model
+    schema = StructType([*(StructField(f.name, f.dataType, True) for f in REPLY.fields), StructField("call_error", StringType())])
+
+    def reply(system, user):
+        try:
+            text, served = call(system, user)
+        except Exception as error:
+            return system, user, None, model, model, f"the call failed: {type(error).__name__}: {error}"
+        return system, user, text, model, served or model, None
 
     def each(batches):
         import pandas as pd
 
         for batch in batches:
-            rows = [(s, u, *call(s, u)) for s, u in zip(batch["system_prompt"], batch["user_prompt"])]
-            yield pd.DataFrame([(s, u, t, model, served or model) for s, u, t, served in rows], columns=REPLY.fieldNames())
+            rows = [reply(s, u) for s, u in zip(batch["system_prompt"], batch["user_prompt"])]
+            yield pd.DataFrame(rows, columns=schema.fieldNames(), dtype=object)
 
-    return prompts.select("system_prompt", "user_prompt").distinct().mapInPandas(each, REPLY)
+    return prompts.select("system_prompt", "user_prompt").distinct().mapInPandas(each, schema)
 
 
 def _replied(prompts: DataFrame, replies: DataFrame, config: ModelConfig) -> DataFrame:

@@ -48,6 +48,25 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def _place(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme: without one it lies on the session's default file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(path))
+    full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+
+
+def _open(place: str):
+    """A binary stream to a new file at ``place``, its folder made; usable on the driver and in tasks.
+
+    The file system must be one that Arrow can open.
+    """
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(place)
+    system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+    return system.open_output_stream(inner)
+
+
 def _is_array(spark: SparkSession, path: str) -> bool:
     return str(path).endswith(".json") and not Path(str(path)).is_dir()
 
@@ -56,16 +75,14 @@ def write_records(rows: DataFrame, path: str, order: str | None = None) -> int:
     """One JSON array in one file, indented; for results that people read. Returns the row count."""
     ordered = rows.orderBy(order) if order else rows
     names = [c for c in rows.columns if c != order]
-    to = Path(path)
-    to.parent.mkdir(parents=True, exist_ok=True)
     n = 0
-    with to.open("w", encoding="utf-8") as f:
-        f.write("[")
+    with _open(_place(rows.sparkSession, path)) as f:
+        f.write(b"[")
         for row in ordered.select(*names).toLocalIterator():  # a row at a time: the file is the bound, not the driver
             body = json.dumps(row.asDict(recursive=True), ensure_ascii=False, indent=2).replace("\n", "\n  ")
-            f.write(("," if n else "") + "\n  " + body)
+            f.write((("," if n else "") + "\n  " + body).encode())
             n += 1
-        f.write("\n]" if n else "]")
+        f.write(b"\n]" if n else b"]")
     return n
 
 
@@ -97,14 +114,17 @@ def read_cache(spark: SparkSession, folder: str, urls: DataFrame | None = None)
 
 
 def write_cache(articles: DataFrame, folder: str) -> None:
-    """One JSON file per URL, named by its hash; tasks write their own rows to the given folder."""
+    """One JSON file per URL, named by its hash; tasks write their own rows to the given folder.
+
+    On a cluster the folder must be a shared one. A task that runs again writes the same files anew.
+    """
     names = schemas.ARTICLE.fieldNames()
+    to = _place(articles.sparkSession, folder)
 
     def store(rows):
-        to = Path(folder)
-        to.mkdir(parents=True, exist_ok=True)
         for r in rows:
-            (to / r["_name"]).write_text(json.dumps({n: r[n] for n in names}, ensure_ascii=False, indent=2), encoding="utf-8")
+            with _open(f"{to}/{r['_name']}") as f:
+                f.write(json.dumps({n: r[n] for n in names}, ensure_ascii=False, indent=2).encode())
 
     articles.withColumn("_name", cache_name(F.col("url"))).foreachPartition(store)
 
@@ -143,12 +163,11 @@ def read_through(urls: DataFrame, cached: DataFrame, pages: DataFrame, config: S
 def write_csv(rows: DataFrame, path: str) -> int:
     """A labelled set as one CSV file with a header; quotes are doubled, rows end in a line feed."""
     import csv
+    import io
 
     names = schemas.LABELLED.fieldNames()
-    to = Path(path)
-    to.parent.mkdir(parents=True, exist_ok=True)
     n = 0
-    with to.open("w", encoding="utf-8", newline="") as f:
+    with io.TextIOWrapper(_open(_place(rows.sparkSession, path)), encoding="utf-8", newline="") as f:
         out = csv.writer(f, lineterminator="\n")
         out.writerow(names)
         for row in rows.select(*names).toLocalIterator():

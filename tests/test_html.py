@@ -1,6 +1,6 @@
 import pytest
 
-from lexweave.functions.html import extract, page_text
+from lexweave.functions.html import SelectorError, extract, page_text, parse, select
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li>menu</ul></nav>
 <article><h1>Nets and &amp; knots</h1><p>First&nbsp;part <b>bold</b>.<p>Second part.<ul><li>bare item<li><p>item with paragraph</p></ul><aside>aside</aside>
@@ -33,3 +33,28 @@ def test_column(spark):
 
     rows = spark.createDataFrame([(PAGE,), (None,)], "h string").select(page_text(F.col("h")).alias("p")).select("p.*").collect()
     assert rows[0]["title"] == "Nets and & knots" and rows[1]["error"] == "no document body in page"
+
+
+TREE = """<div id=a lang=en-GB><p>one</p><p class="x y">two</p><span>three</span><section><p data-k="deep value">four</p></section></div>
+<div id=b><section><div><p>five</p></div></section></div>"""
+
+
+@pytest.mark.parametrize(
+    ("selector", "text"),
+    [
+        ("#a > p + p", "two"), ("p ~ span", "three"), ("[data-k]", "four"), ("[data-k~=value]", "four"), ("[data-k='deep value']", "four"),
+        ("p[data-k^=deep]", "four"), ("p[data-k$=value]", "four"), ("p[data-k*='p v']", "four"), ("[lang|=en] > p", "one"), ("p:nth-child(2)", "two"),
+        ("p:nth-child(2n)", "two"), ("p:nth-of-type(odd)", "one"), ("p:nth-last-of-type(1)", "two"), ("p:not(:first-child)", "two"),
+        ("section > p:only-child", "four"), ("#b p", "five"), ("div > section > div > p", "five"), ("div section div p", "five"),
+        ("h1, .y", "two"), ("*.x", "two"), ("#b section > p", None), ("p:last-child", "four"), ("#b section p:not(.x)", "five"),
+    ],
+)
+def test_selectors(selector, text):
+    found = select(parse(TREE), selector)
+    assert (found.text() if found else None) == text
+
+
+@pytest.mark.parametrize("selector", ["p >", ", p", "p:hover", "p[", "> p", "p:nth-child(x)"])
+def test_unreadable_selectors(selector):
+    with pytest.raises(SelectorError):
+        select(parse(TREE), selector)

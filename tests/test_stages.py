@@ -54,6 +54,19 @@ def test_prompt_stages(spark):
         answer_questions(asked, replies.limit(0), MODEL)
 
 
+def test_failing_call_is_a_row(spark):
+    prompts = spark.createDataFrame([("s", "good"), ("s", "bad")], "system_prompt string, user_prompt string")
+
+    def call(system, user):
+        if user == "bad":
+            raise TimeoutError("too slow")
+        return "fine", "served"
+
+    rows = {r["user_prompt"]: r for r in usable_replies(ask(prompts, call, MODEL), MODEL).collect()}
+    assert rows["good"]["error"] is None and rows["good"]["text"] == "fine"
+    assert rows["bad"]["error"] == "the call failed: TimeoutError: too slow"
+
+
 def test_reply_errors(spark):
     raw = spark.createDataFrame(
         [("a", 200, None, "STOP"), ("b", 429, None, "STOP"), ("c", 401, None, "STOP"), ("d", 200, "bad", "STOP"), ("e", 200, None, "SAFETY"), (" ", 200, None, "MAX_TOKENS"), (None, 200, None, None)],
