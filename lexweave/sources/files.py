@@ -51,7 +51,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def _place(spark: SparkSession, path: str) -> str:
     """``path`` with its scheme: without one it lies on the session's default file system."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(path))
-    full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toUri().toASCIIString()
     return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
 
 

@@ -138,3 +138,10 @@ def test_entry_without_llm():
     code = "import sys; sys.modules['lexweave.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; print(len(e.queries()), set(e.oracle_sql()) <= set(e.queries()))"
     said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=100)
     assert said.stdout.split() == ["18", "True"], said.stderr
+
+
+def test_files_in_odd_folders(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "é\n"), (0, "a")], "ordinal long, text string")
+    for to in (tmp_path / "with space % é" / "r.json", f"file://{tmp_path}/plain/r.json"):
+        assert files.write_records(rows, str(to), order="ordinal") == 2
+        assert json.loads(open(str(to).removeprefix("file://"), encoding="utf-8").read()) == [{"text": "a"}, {"text": "é\n"}]
