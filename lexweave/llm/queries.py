@@ -102,6 +102,36 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexweave.llm.delta_lloyd import cluster_vectors
+
+    return cluster_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_tandem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexweave.llm.tandem_runs import collapse_runs
+
+    found = collapse_runs(read_table(spark, sf_dir, "documents"), plant=True)
+    order = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    best = found.select("doc_id", "runs", order.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = F.col("best.length"), -F.col("best.period")
+    return best.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("best.before")).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexweave.llm.decontaminate import contamination
+
+    found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n_chars,
@@ -138,6 +168,44 @@ FROM m GROUP BY conv_id
 """
 
 
+def op11_sql(clusters: int = 16, rounds: int = 3) -> str:
+    """Lloyd's rounds written out one after the other, every vector compared with every centroid."""
+    steps = [f"""v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+      FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+    c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS k, v AS c FROM v QUALIFY k < {clusters})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} AS (SELECT rid, k, list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS d FROM v, c{r}),
+    a{r} AS (SELECT rid, CAST(arg_min(k, d * 1000 + k) AS INTEGER) AS k, min(d) AS d FROM d{r} GROUP BY rid)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT k, i, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(range(1, 65)) AS i, unnest(v) AS x FROM v JOIN a{r} USING (rid)) GROUP BY k, i),
+    m{r} AS (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM s{r} GROUP BY k),
+    c{r + 1} AS (SELECT c{r}.k, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (k))""")
+    return "WITH " + ",\n".join(steps) + f"""
+    SELECT vec_id, k AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+      CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+    FROM a{rounds} JOIN v USING (rid) JOIN c{rounds} USING (k)"""
+
+
+OP13_SQL = r"""
+WITH w AS (
+  SELECT 'd' AS side, CAST(doc_id AS VARCHAR) AS id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 'i', coalesce(CAST(item_id AS VARCHAR), ''), row_number() OVER (), regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+items AS (SELECT DISTINCT id, n, array_to_string(w[i:i + n - 1], ' ') AS t
+  FROM (SELECT id, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM w WHERE side = 'i' AND len(w) > 0)),
+places AS (SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS t
+  FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, (SELECT DISTINCT n FROM items) WHERE side = 'd' AND len(w) >= n)),
+hits AS (SELECT DISTINCT rid, i, p.n, p.t FROM places p WHERE EXISTS (SELECT 1 FROM items x WHERE x.t = p.t AND x.n = p.n)),
+cover AS (SELECT rid, count(DISTINCT j) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS j FROM hits) GROUP BY rid),
+named AS (SELECT rid, count(DISTINCT id) AS n_items, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM hits JOIN items USING (t, n) GROUP BY rid)
+SELECT CAST(id AS BIGINT) AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN cover USING (rid) LEFT JOIN named USING (rid) WHERE side = 'd'
+"""
+
+
 def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
@@ -150,8 +218,11 @@ def queries() -> dict:
         "op8_order_minhash": op8_order_minhash,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_ngram_join": op10_ngram_join,
+        "op11_delta_lloyd": op11_delta_lloyd,
+        "op12_tandem_runs": op12_tandem_runs,
+        "op13_decontaminate": op13_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": OP6_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op6_chat_format": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op11_delta_lloyd": op11_sql(), "op13_decontaminate": OP13_SQL}
