@@ -29,7 +29,8 @@ ENDED_BY = {
     "p": ENDS_P | {"li", "dt", "dd", "td", "th", "tr"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"},
     "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"},
 }
-HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "p": {"body", "td", "th", "button"}, "option": {"select"}}
+HEAD = frozenset("head title meta link base style script".split())
+KEEPS_IN = DENSE | CHROME | {"ul", "ol", "dl", "table", "article", "main", "blockquote"}  # what starts inside ends nothing around them
 
 
 class Element:
@@ -73,7 +74,7 @@ class _Builder(HTMLParser):
             if tag in ENDED_BY.get(node.tag, ()):
                 self.at = node.parent
                 break
-            if node.tag in DENSE | {"ul", "ol", "dl", "table", "article", "main", "blockquote"}:
+            if node.tag in KEEPS_IN:
                 break
             node = node.parent
         new = Element(tag, dict(attrs), self.at)
@@ -100,9 +101,28 @@ def parse(page: str) -> Element:
     builder = _Builder()
     builder.feed(page)
     builder.close()
+    _give_body(builder.root)
     return builder.root
 
 
+def _give_body(root: Element) -> None:
+    """A page that names no body has one all the same: what follows the elements of a head."""
+    if any(x.tag == "body" for x in root.walk()):
+        return
+    top = next((c for c in root.children if isinstance(c, Element) and c.tag == "html"), root)
+    is_head = lambda c: c.tag in HEAD if isinstance(c, Element) else not c.strip()
+    at = next((i for i, c in enumerate(top.children) if not is_head(c)), None)
+    if at is None:
+        return
+    body = Element("body", {}, top)
+    body.children, top.children[at:] = top.children[at:], [body]
+    for c in body.children:
+        if isinstance(c, Element):
+            c.parent = body
+    for x in body.walk():
+        x.depth += 1
+
+
 def _drop_chrome(root: Element) -> None:
     todo = [root]
     while todo:

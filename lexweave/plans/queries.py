@@ -13,6 +13,7 @@ from lexweave.operators.agreement import agreement
 from lexweave.operators.overlap import evaluated, gram_table, item_hits, previous_scores, score_answers, with_overlap
 from lexweave.operators.report import summarise
 from lexweave.operators.sampling import stratified_sample
+from lexweave.plans.layouts import laid_out, layouts_sql, pages_sql
 from lexweave.sources.config import ScoringConfig
 from lexweave.sources.files import split_cached
 
@@ -134,6 +135,11 @@ def page_extract(spark, sf_dir):
     return pages.select("page_id", "url", "p.title", "p.text", "p.error")
 
 
+def page_layouts(spark, sf_dir):
+    """Every rule of the extraction on every page: its article set into each of the fixed layouts."""
+    return laid_out(_read(spark, sf_dir, "pages"), F.col("html"))
+
+
 def diacritics_stripped(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", strip_diacritics(F.col("text")).alias("text"))
 
@@ -145,7 +151,7 @@ def queries() -> dict:
         "score_join_last_wins": score_join_last_wins, "report_summary": report_summary, "label_agreement": label_agreement,
         "stratified_sample": stratified, "text_fingerprint": text_fingerprint, "cache_hit_miss": cache_hit_miss, "url_host": url_host,
         "question_parse": question_parse, "whitespace_normalise": whitespace_normalise, "label_truncate": label_truncate,
-        "page_extract": page_extract, "diacritics_stripped": diacritics_stripped,
+        "page_extract": page_extract, "page_layouts": page_layouts, "diacritics_stripped": diacritics_stripped,
     }
 
 
@@ -226,5 +232,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, trim(regexp_replace(regexp_replace(nfc_normalize(t), '[^\S\n]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), ' ' || chr(10)) AS text FROM t""",
         "label_truncate": """WITH l AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE 'Page ' || page_id END AS label FROM pages)
             SELECT page_id, CASE WHEN length(label) > 40 THEN substr(label, 1, 37) || '...' ELSE label END AS label FROM l""",
+        "page_extract": pages_sql(),
+        "page_layouts": layouts_sql(),
         "diacritics_stripped": "SELECT doc_id, strip_accents(text) AS text FROM documents",
     }

@@ -58,3 +58,34 @@ def test_selectors(selector, text):
 def test_unreadable_selectors(selector):
     with pytest.raises(SelectorError):
         select(parse(TREE), selector)
+
+
+def test_pages_without_a_body_have_one():
+    assert extract("<title>T</title><div>bare</div>") == ("T", "bare", None)  # the head is no prose
+    assert extract("<div><p>one</p></div><div><p>two</p></div>")[1] == "one\ntwo"
+    assert extract("<html><head><title>T</title></head><p>a</p><section><p>long enough</p></section></html>")[1] == "long enough"
+
+
+def test_what_starts_inside_chrome_stays_there():
+    assert extract("<article><p>kept <noscript><p>gone</p></noscript></article>")[1] == "kept"
+    assert extract("<article><p>kept <button><li>gone</button> on</article>")[1] == "kept on"
+
+
+def test_layouts_hold_on_any_page(spark, tmp_path):
+    """Layouts and their SQL on pages of another make than the given ones, an empty article among them."""
+    import duckdb
+
+    from lexweave.plans import layouts as L
+    from lexweave.plans.queries import page_extract, page_layouts
+
+    assert len({x.name for x in L.LAYOUTS}) == len(L.LAYOUTS) >= 35
+    html = ["<article><h1>On &quot;nets&quot; &amp; knots</h1><p>One <i>two</i>.<p>Three &copy;</p></article>", "<title>x</title><article><h1>A &lt;b&gt;</h1><p>p  q\n r</p></article>"]
+    spark.createDataFrame([(i, f"http://x/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for query, sql in ((page_extract, L.pages_sql()), (page_layouts, L.layouts_sql())):
+        rows = query(spark, str(tmp_path))
+        found = db.execute(sql)
+        names = [d[0] for d in found.description]
+        want = sorted(repr(tuple(dict(zip(names, r))[c] for c in rows.columns)) for r in found.fetchall())
+        assert sorted(repr(tuple(r)) for r in rows.collect()) == want
