@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import ngrams, tokens, utc_seconds
+from lexweave.operators.ranges import Ranges
 from lexweave.sources.config import ScoringConfig
 
 BROADCAST_BYTES = 32 << 20  # of a side that is broadcast; beyond, the join shuffles
@@ -148,19 +149,16 @@ def score_answers(answers: DataFrame, articles: DataFrame, config: ScoringConfig
 def previous_scores(docs: DataFrame, group: str, key: str, text: str, config: ScoringConfig) -> DataFrame:
     """(key, group, source_key, score columns): each document scored against the one before it in its group.
 
-    ``key`` names a document; of rows that repeat one, any may speak for it. The window sorts
-    keys only. Each text is tokenised once; its grams go to its own pair and to
-    the pair of the document behind it, so one shuffle brings both sides of a pair together.
+    Documents are in order of ``key``, rows that repeat a key in the order of a hash of their grams;
+    a row without a key has no place and is left out. Each text is tokenised once and its grams are
+    shuffled once, to a range of keys of its group (:class:`Ranges`), where the row before it stands
+    too, be it as a guest. No group is one task.
     """
-    order = Window.partitionBy(group).orderBy(key)
-    pairs = docs.select(key, group).withColumns({"source_key": F.lag(key).over(order), "next_key": F.lead(key).over(order)})
-    pairs = pairs.withColumnRenamed(key, "_k")
-    grams = with_grams(docs.select(F.col(key).alias("_own"), F.col(text).alias("_t")), "_t", "_g", config)
-    known = grams.join(pairs, grams["_own"] == pairs["_k"])
-    seat = F.array(F.struct(F.col("_k").alias("pair"), F.lit(True).alias("answers")), F.struct(F.col("next_key").alias("pair"), F.lit(False).alias("answers")))
-    seats = known.select(group, "source_key", "_g", F.inline(seat)).where("pair IS NOT NULL AND NOT (answers AND source_key IS NULL)")
-    met = seats.groupBy("pair").agg(
-        F.max(F.when(F.col("answers"), F.col(group))).alias(group), F.max(F.when(F.col("answers"), F.col("source_key"))).alias("source_key"),
-        F.any_value(F.when(F.col("answers"), F.col("_g")), True).alias("_ag"), F.any_value(F.when(~F.col("answers"), F.col("_g")), True).alias("_sg"),
-    )
-    return scored_grams(met.withColumnRenamed("pair", key), config)
+    rows = docs.where(F.col(key).isNotNull())
+    keys = rows.select(group, key)
+    ranges = Ranges.of(keys, group, key)
+    seated = ranges.with_guests(with_grams(rows.select(key, group, F.col(text).alias("_ag")), "_ag", "_ag", config), keys)
+    order = Window.partitionBy(group, "_range").orderBy(key, "_tie")
+    near = seated.withColumn("_tie", F.xxhash64("_ag"))
+    near = near.select(key, group, "_ag", "_guest", F.lag(key).over(order).alias("source_key"), F.lag("_ag").over(order).alias("_sg"))
+    return scored_grams(near.where("NOT _guest AND source_key IS NOT NULL").drop("_guest"), config)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from lexweave.functions.text import parse_questions, utc_seconds
-from lexweave.operators.sampling import numbered
+from lexweave.operators.ranges import numbered
 from lexweave.plans.schemas import REPLY
 from lexweave.sources.config import ModelConfig
 
