@@ -44,7 +44,7 @@ def fetch(args) -> int:
     urls = files.url_table(spark, str(path))
     folder = str(args.cache_dir / "articles")
     try:
-        cached = files.read_cache(spark, folder).drop("ordinal")
+        cached = files.read_cache(spark, folder, urls).drop("ordinal").distinct()
     except files.FetchError:
         cached = spark.createDataFrame([], schemas.ARTICLE)
     _, misses = files.split_cached(urls, cached)
@@ -101,7 +101,7 @@ def report(args) -> int:
 
 def sample(args) -> int:
     spark = _session()
-    results = files.read_records(spark, str(args.results_dir / "results.json"), "results", schemas.RESULT)
+    results = files.read_records(spark, str(args.results or args.results_dir / "results.json"), "results", schemas.RESULT)
     if results.where("scorable").isEmpty():
         raise files.RecordError("no scorable result to sample")
     out = args.out or args.results_dir / "labelled_set.csv"
@@ -111,7 +111,7 @@ def sample(args) -> int:
 
 
 def agreement(args) -> int:
-    rule = ScoringConfig.load(args.config_dir / "scoring.yaml")
+    rule = ScoringConfig.load(args.scoring or args.config_dir / "scoring.yaml")
     rows = files.read_csv(_session(), str(args.labels or args.results_dir / "labelled_set.csv"))
     print(agree.format_agreement(rows.withColumn("score", F.col("score").cast("double")), rule))
     return 0
@@ -131,10 +131,12 @@ def parser() -> argparse.ArgumentParser:
             stage.add_argument("--pages", help="a Parquet table (url, html) instead of HTTP")
         if run is sample:
             stage.add_argument("--out", type=Path)
+            stage.add_argument("--results", type=Path, help="scored results from elsewhere")
             stage.add_argument("--rows", type=int, default=20)
             stage.add_argument("--seed", type=int, default=0)
         if run is agreement:
             stage.add_argument("--labels", type=Path)
+            stage.add_argument("--scoring", type=Path, help="a scoring rule from elsewhere")
     return top
 
 

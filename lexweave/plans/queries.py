@@ -79,7 +79,7 @@ def score_join_last_wins(spark, sf_dir):
 def report_summary(spark, sf_dir):
     scores = _doc_scores(spark, sf_dir).select(F.col("source").alias("article_url"), F.lit("").alias("article_title"), F.col("doc_id").alias("ordinal"), "score", "scorable")
     return summarise(scores, RULE).select(
-        "label", "n", "scored", F.round("mean_score", 9).alias("mean_score"), "max_score", "over", "unscorable", "is_total", "first_ordinal"
+        "label", "n", "scored", "mean_score", "max_score", "over", "unscorable", "is_total", "first_ordinal"
     )
 
 
@@ -200,7 +200,7 @@ def oracle_sql() -> dict[str, str]:
                FROM documents JOIN art ON art.url = source || '/' || n_chars""") + " SELECT question_id, article_url, article_sha256, matched_ngrams, total_ngrams, score, scorable FROM scores",
         "report_summary": f"""{doc_scores}
             SELECT CASE WHEN grouping(source) = 1 THEN 'ALL' ELSE source END AS label, CAST(count(*) AS BIGINT) AS n,
-              CAST(count(*) FILTER (WHERE scorable) AS BIGINT) AS scored, round(avg(score) FILTER (WHERE scorable), 9) AS mean_score,
+              CAST(count(*) FILTER (WHERE scorable) AS BIGINT) AS scored, CAST(sum(CAST(round(score * 1000000) AS BIGINT)) FILTER (WHERE scorable) AS DOUBLE) / (count(*) FILTER (WHERE scorable) * 1000000) AS mean_score,
               max(score) FILTER (WHERE scorable) AS max_score,
               CASE WHEN count(*) FILTER (WHERE scorable) > 0 THEN CAST(count(*) FILTER (WHERE scorable AND score >= {thr}) AS BIGINT) END AS "over",
               CAST(count(*) FILTER (WHERE NOT scorable) AS BIGINT) AS unscorable, grouping(source) = 1 AS is_total, min(doc_id) AS first_ordinal

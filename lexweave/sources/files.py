@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,8 +39,21 @@ def read_records(spark: SparkSession, path: str, what: str, schema: T.StructType
     wanted = set(schema.fieldNames())
     if found and found != wanted:
         raise RecordError(f"{path}: {what} lack {sorted(wanted - found)} or have {sorted(found - wanted)}")
-    rows = spark.read.schema(_strings(schema)).option("multiLine", _is_array(spark, path)).option("mode", "FAILFAST").json(str(path))
-    return rows.withColumn("ordinal", F.monotonically_increasing_id())
+    return in_file_order(spark.read.schema(_strings(schema)).option("multiLine", _is_array(spark, path)).option("mode", "FAILFAST").json(str(path)))
+
+
+def in_file_order(rows: DataFrame, name: str = "ordinal") -> DataFrame:
+    """``rows``, read from files, with a number that grows from file to file (by path) and inside a file from its start.
+
+    Numbers have gaps; their order is the same however Spark deals the files: the stretch of a file
+    that a row is read from ranks first, and inside a stretch rows are numbered as they are read.
+    """
+    stretch = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    found = sorted((r["_file"], r["_block"]) for r in rows.select(*stretch).distinct().collect())  # as many as the scan has splits
+    ranks = rows.sparkSession.createDataFrame([(f, b, i) for i, (f, b) in enumerate(found)], "_f string, _b long, _rank long")
+    seen = rows.select(*[F.col(f"`{c}`") for c in rows.columns], *stretch, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_row"))
+    placed = seen.join(F.broadcast(ranks), (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
+    return placed.select(*[F.col(f"`{c}`") for c in rows.columns], (F.shiftleft("_rank", 33) + F.col("_row")).alias(name))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -93,24 +107,84 @@ def write_lines(rows: DataFrame, path: str) -> None:
 
 def url_table(spark: SparkSession, path: str) -> DataFrame:
     """(ordinal, url) of a URL list; blanks and # lines dropped, duplicates kept."""
-    lines = spark.read.text(str(path)).select(F.trim("value").alias("url"), F.monotonically_increasing_id().alias("ordinal"))
+    lines = in_file_order(spark.read.text(str(path))).select(F.trim("value").alias("url"), "ordinal")
     return lines.where((F.col("url") != "") & ~F.col("url").startswith("#")).select("ordinal", "url")
 
 
-def read_cache(spark: SparkSession, folder: str, urls: DataFrame | None = None) -> DataFrame:
-    """Cached articles, in the order of ``urls`` if given (its duplicates repeat rows); none is an error."""
+def _article(raw: bytes | None) -> tuple:
+    """The fields of a cached article and an error: null fields for an absent one, an error for one that can't be read."""
+    names = schemas.ARTICLE.fieldNames()
+    if raw is None:
+        return (None,) * len(names) + (None,)
     try:
-        raw = spark.read.schema(_strings(schemas.ARTICLE)).option("multiLine", True).option("mode", "FAILFAST").json(f"{folder}/*.json")
-    except Exception as error:
-        raise FetchError("no articles in the cache; run the fetch stage first") from error
-    found = raw if urls is None else urls.join(raw, "url").select("ordinal", *schemas.ARTICLE.fieldNames())
+        got = json.loads(raw)
+        if not isinstance(got, dict) or set(got) != set(names):
+            raise ValueError("other keys than an article's")
+        return tuple(got[n] for n in names) + (None,)
+    except ValueError as error:
+        return (None,) * len(names) + (str(error),)
+
+
+def cache_bytes(folder: str, url: str) -> bytes | None:
+    """What the cache holds under a URL; null if nothing. Opens the one file that the URL's hash names."""
+    import hashlib
+
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(f"{folder}/{hashlib.sha256(url.encode()).hexdigest()[:16]}.json")
     try:
-        empty = found.isEmpty()
-    except Exception as error:
-        raise FetchError(f"a cached article in {folder} is corrupt; delete it and fetch again") from error
-    if empty:
-        raise FetchError("no articles in the cache; run the fetch stage first")
-    return found
+        with system.open_input_file(inner) as f:
+            return f.readall()
+    except FileNotFoundError:
+        return None
+
+
+def load_article(spark: SparkSession, folder: str, url: str) -> dict | None:
+    """A point read: the cached article of a URL, or none. A file that can't be read is an error."""
+    *fields, error = _article(cache_bytes(_place(spark, folder), url))
+    if error:
+        raise FetchError(f"the cached article of {url} in {folder} is corrupt ({error}); delete it and fetch again")
+    return dict(zip(schemas.ARTICLE.fieldNames(), fields)) if fields[0] is not None else None
+
+
+def read_cache(spark: SparkSession, folder: str, urls: DataFrame | None = None) -> DataFrame:
+    """Cached articles, in the order of ``urls`` if given (its duplicates repeat rows); none is an error.
+
+    With ``urls`` only their files are opened, each once, by the tasks that hold the URLs; the
+    folder is never listed. What was read is kept, so that nothing is opened again.
+    """
+    none = FetchError("no articles in the cache; run the fetch stage first")
+    if urls is None:
+        try:
+            found = spark.read.schema(_strings(schemas.ARTICLE)).option("multiLine", True).option("mode", "FAILFAST").json(f"{folder}/*.json")
+        except Exception as error:
+            raise none from error
+        try:
+            empty = found.isEmpty()
+        except Exception as error:
+            raise FetchError(f"a cached article in {folder} is corrupt; delete it and fetch again") from error
+        if empty:
+            raise none
+        return found
+    place, names = _place(spark, folder), schemas.ARTICLE.fieldNames()
+
+    def load(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = [(u, *_article(cache_bytes(place, u))) for u in batch["_url"]]
+            yield pd.DataFrame(rows, columns=["_url", *names, "error"], dtype=object)
+
+    wanted = urls.select(F.col("url").alias("_url")).where("_url IS NOT NULL").distinct()
+    read = wanted.mapInPandas(load, "_url string, " + ", ".join(f"{n} string" for n in names) + ", error string").persist(StorageLevel.DISK_ONLY)
+    bad = read.where("error IS NOT NULL").select("_url", "error").first()
+    if bad:
+        raise FetchError(f"the cached article of {bad['_url']} in {folder} is corrupt ({bad['error']}); delete it and fetch again")
+    held = read.where("url IS NOT NULL").drop("error", "url")
+    if held.isEmpty():
+        raise none
+    known = urls.select("ordinal", "url")
+    return known.join(held, known["url"] == held["_url"]).select("ordinal", *names)
 
 
 def write_cache(articles: DataFrame, folder: str) -> None:
