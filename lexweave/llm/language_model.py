@@ -23,7 +23,7 @@ WINDOW = 32  # steps of truncated backpropagation
 LANES = 128  # documents that are trained side by side
 SCORE_LANES = 384
 SCORE_WINDOW = 32
-RATE = 0.08
+RATE = 0.1  # while all lanes are live
 END = np.uint64(TAILS)  # the end token's id: hash 1, tail class 0
 
 _lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -280,19 +280,24 @@ def score_documents(model: dict, symbols, lengths, end_symbol: int):
 
 
 class Trainer:
-    """Truncated backpropagation through time with AdaGrad; the state runs on between windows."""
+    """Truncated backpropagation through time with AdaGrad; the state runs on between windows.
+
+    Lanes end at different times. AdaGrad makes any gradient's step as long as another's, so the
+    few long texts that are left at the end would draw the network to themselves; the rate
+    therefore falls with the square root of the share of lanes that are live. Every token trains.
+    """
 
     def __init__(self, model: dict, rate: float = RATE, seen: float = 0.01):
-        self.model, self.rate = model, rate
+        self.model, self.rate, self.now = model, rate, rate
         self.seen = {k: np.full_like(v, seen) for k, v in model.items()}
 
     def _update(self, name, grad, rows=None):
         if rows is None:
             self.seen[name] += grad * grad
-            self.model[name] -= self.rate * grad / np.sqrt(self.seen[name])
+            self.model[name] -= self.now * grad / np.sqrt(self.seen[name])
         else:
             self.seen[name][rows] += grad * grad
-            self.model[name][rows] -= self.rate * grad / np.sqrt(self.seen[name][rows])
+            self.model[name][rows] -= self.now * grad / np.sqrt(self.seen[name][rows])
 
     def documents(self, symbols, lengths, end_symbol: int) -> float:
         """One pass over every symbol; returns the mean log10 probability before each update."""
@@ -301,6 +306,7 @@ class Trainer:
         total = 0.0
         for t0 in range(0, lanes.steps, WINDOW):
             target, source, _, active = lanes.window(t0, WINDOW)
+            self.now = self.rate * float(np.sqrt(active.sum() / (len(active) * len(lanes.size))))
             total += self._window(target, source, active, h[: target.shape[1]], end_symbol, len(lanes.size))
         return total / max(len(symbols), 1)
 

@@ -5,8 +5,8 @@
    ``FREQUENT`` most frequent words and the totals.
 2. *Network.* A start on ``WARM_DOCS`` documents, then every task trains on every token of its
    training documents, state carried from each document's start to its end. The tasks' networks
-   are averaged in groups, weighted by tokens; so the network depends, a little, on how rows are
-   split among tasks.
+   are averaged in groups, weighted by tokens; so the network depends on how rows are split among
+   tasks, at 0.01 by some 0.02 in log10 a token between 1, 4 and 32 tasks.
 3. *Scores.* One pass runs the network over every text, state carried to the text's end. What
    needs the count of a word that isn't frequent goes to the word's owner, which answers with
    sums per document.

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 
@@ -412,6 +413,20 @@ def test_training_learns_and_words_hash_apart():
     assert said[0] < said[-1] and said[-1] > -0.5
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/documents.parquet"), reason="needs the given tables")
+def test_network_beats_counts_on_held_out_documents(spark):
+    """Scores of whole held-out documents, a token, against the base model, however rows are split."""
+    from lexweave.llm.lm_scoring import learn, score
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").cache()
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    said = []
+    for parts in (1, 4):
+        scored = score(docs.where(held), learn(docs.where(~held).repartitionByRange(parts, "doc_id")))
+        said.append(scored.agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first())
+    assert all(network > base + 0.15 for network, base in said) and abs(said[0][0] - said[1][0]) < 0.05
+
+
 def edited(rows):
     order = sorted(rows, key=lambda r: r[0])
     for (d, t), (_, nxt) in zip(order, order[1:] + order[:1]):
