@@ -45,6 +45,11 @@ AGAINST = frozenset(
     " comment comments commentlist discussion disqus reply replies respond feedback reactions skip hidden hide contentinfo complementary".split()
 )
 FOR = frozenset("article content post entry story body text main prose maintext articlebody".split())
+#: Parts that a compound name against content may have beside words of ``AGAINST`` (``site-footer``, ``comment-list``).
+FILLER = frozenset(
+    "site page reader readers user users list lists box boxes bar bars button buttons btn link links post posts article articles story stories item items"
+    " section block area slot unit inner outer holder container wrap wrapper panel module global primary secondary main the our my blog author social".split()
+)
 #: Parts of a compound name that make it say something of state or layout, and nothing of what is inside.
 STATE = frozenset(
     "has have with without no not non is are in on off at open opened close closed show shown visible active enabled disabled loaded ready"
@@ -55,6 +60,7 @@ TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 END_TAG = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in SILENT_TAGS}
 NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+SITE_NAME = re.compile(r"""(?<![\w-])(?:class|id)\s*=[^>]*(?:logo|brand|site)""", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 STOP = re.compile(r"[.!?…。！？][\"'”’)\]]*(?:\s|$)")
 
@@ -69,17 +75,23 @@ RESULT = "page_id bigint, url string, text string, n_chars bigint, n_blocks bigi
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "flags", "against", "good", "hidden", "block", "wraps")
+    __slots__ = ("tag", "parent", "depth", "flags", "against", "good", "hidden", "block", "wraps", "form", "headline", "named_site", "inside", "names")
 
     def __init__(self, tag, parent, attrs):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
         self.flags, self.hidden, self.block = (parent.flags, parent.hidden, parent.block) if parent else (frozenset(), False, self)
-        self.against, self.good, self.wraps = frozenset(), 0, False
+        self.against, self.good, self.wraps, self.headline = frozenset(), 0, False, False
+        self.form = self if tag == "form" else parent.form if parent else None  # one that holds the page is told apart later
         if tag in BLOCK_TAGS:
             self.block = self
-        if tag in ("article", "main", "nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "figure"):
+        if tag in ("article", "main", "nav", "header", "footer", "aside", "button", "select", "menu", "dialog", "figure"):
             self.flags = self.flags | {tag}
+        self.inside = parent.inside if parent else None  # the nearest article or main around this one
+        if parent and parent.tag in ("article", "main"):
+            self.inside = parent
+        self.names = None
+        self.named_site = bool(attrs) and SITE_NAME.search(attrs) is not None
         if attrs:
             if tag not in ("html", "body"):
                 self.against, self.good = spoken(attrs)
@@ -96,8 +108,9 @@ class Block:
 def spoken(attrs: str) -> tuple[frozenset, int]:
     """(words against content, number of words for it) in the class, id and role of an element.
 
-    A name counts whole. A compound name (``cookie-notice``, ``siteFooter``) counts by its parts,
-    unless one of them makes it a state or a layout (``has-sidebar``, ``modal-open``).
+    A name counts whole. A compound name speaks against content if that is all it says
+    (``cookie-notice``, ``siteFooter``, but not ``share-price``), and never if a part makes it a
+    state or a layout (``has-sidebar``, ``modal-open``).
     """
     against, good = set(), set()
     for m in NAMES.findall(attrs):
@@ -105,7 +118,8 @@ def spoken(attrs: str) -> tuple[frozenset, int]:
             parts = [w.lower() for w in NAME_PART.findall(name)]
             if len(parts) > 1 and not STATE.isdisjoint(parts):
                 continue
-            against.update(AGAINST.intersection(parts))
+            if all(w in AGAINST or w in FILLER for w in parts):
+                against.update(AGAINST.intersection(parts))
             good.update(FOR.intersection(parts))
     return frozenset(against), len(good)
 
@@ -174,7 +188,8 @@ def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order; markup, comments, scripts and the like leave nothing."""
     root = Node("html", None, "")
     stack, out, current, links = [root], [], None, 0
-    opened = {"html": 1}
+    places: dict[str, list[int]] = {"html": [0]}  # where in the stack each tag stands
+    walls = [0]  # where block elements stand
     articles, titles = [], []
 
     def end():
@@ -187,8 +202,10 @@ def blocks_of(page: str) -> list[Block]:
 
     def cut(i):
         for n in stack[i:]:
-            opened[n.tag] -= 1
+            places[n.tag].pop()
         del stack[i:]
+        while walls[-1] >= i:
+            walls.pop()
 
     for raw, tag, closing, attrs in tokens_of(page):
         if raw and (current is not None or not raw.isspace()):
@@ -212,37 +229,46 @@ def blocks_of(page: str) -> list[Block]:
         if closing:
             if tag == "a":
                 links = 0
-            if opened.get(tag):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        cut(i)
-                        break
-                    if tag not in BLOCK_TAGS and stack[i].tag in BLOCK_TAGS:
-                        break  # a stray inline end tag doesn't close blocks
+            at = places[tag][-1] if places.get(tag) else 0
+            if at and (tag in BLOCK_TAGS or at > walls[-1]):  # a stray inline end tag doesn't close blocks
+                cut(at)
             continue
         if tag == "a":
             links = 1
         if tag in VOID_TAGS or attrs.endswith("/") and tag not in BLOCK_TAGS:
             continue
-        if tag in BLOCK_TAGS:
-            for i in range(len(stack) - 1, 0, -1):
-                if tag in CLOSED_BY.get(stack[i].tag, ()):
-                    cut(i)
-                    break
-                if stack[i].tag in BLOCK_TAGS:
-                    break
+        if tag in BLOCK_TAGS and tag in CLOSED_BY.get(stack[walls[-1]].tag, ()):
+            cut(walls[-1])
         node = Node(tag, stack[-1], attrs)
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK_TAGS:
+            walls.append(len(stack))
         stack.append(node)
-        opened[tag] = opened.get(tag, 0) + 1
         if tag in ("article", "main"):
             articles.append(node)
         elif tag == "h1":
             titles.append(node)
     end()
+    _free_wrappers(out, articles + titles)
     _choose(out, articles, titles)
     return out
 
 
+def _free_wrappers(blocks: list[Block], landmarks: list[Node]) -> None:
+    """A form around more than half of the text, or around nearly all, is a page's wrapper and no form."""
+    held, total = {}, 0
+    for b in blocks:
+        total += len(b.text)
+        if b.node.form is not None:
+            held[b.node.form] = held.get(b.node.form, 0) + len(b.text)
+    known = {n.form for n in landmarks}
+    wrappers = {f for f, n in held.items() if n > 0.5 * total and f in known or n > 0.9 * total}
+    if wrappers:
+        for node in {b.node for b in blocks} | set(landmarks):
+            if node.form in wrappers:
+                node.form = None
+
+
 def _choose(blocks: list[Block], articles: list[Node], titles: list[Node]) -> None:
     """Marks what wraps the main article: names of these elements tell of the page, and not of what is inside.
 
@@ -252,11 +278,10 @@ def _choose(blocks: list[Block], articles: list[Node], titles: list[Node]) -> No
     said: dict = {}
     for b in blocks:
         n = len(b.text) if STOP.search(b.text) else 0
-        node = b.node
+        node = b.node if b.node.tag in ("article", "main") else b.node.inside
         while n and node is not None:
-            if node.tag in ("article", "main"):
-                said[id(node)] = said.get(id(node), 0) + n
-            node = node.parent
+            said[id(node)] = said.get(id(node), 0) + n
+            node = node.inside
     best = None
     for kind in ("article", "main"):
         known = [a for a in articles if a.tag == kind and not a.hidden and not a.against - {"form", "search"}] or [a for a in articles if a.tag == kind and not a.hidden]
@@ -264,30 +289,55 @@ def _choose(blocks: list[Block], articles: list[Node], titles: list[Node]) -> No
         if known and best is None:
             best = max(known, key=lambda a: said.get(id(a), 0))
     if best is not None:
-        titles = [t for t in titles if _within(t, best)]
-    plain = [t for t in titles if not t.flags & {"header", "nav", "aside", "footer", "form"} and not t.hidden] or titles
+        own = [t for t in titles if _within(t, best)]
+        if not own and len(titles) == 1 and _is_headline(titles[0]):
+            titles[0].headline = True  # the article's only title, set above it
+        titles = own
+    plain = [t for t in titles if not t.flags & {"header", "nav", "aside", "footer"} and t.form is None and not t.hidden] or titles
     for node in (best, plain[0].parent if plain else None):
         while node is not None:
             node.wraps = True
             node = node.parent
 
 
+def _is_headline(title: Node) -> bool:
+    """Whether a title in a page's header may be that of the article: nothing calls it the site's."""
+    own = title
+    while own is not None and own.tag not in ("header", "body", "html"):
+        if own.hidden or own.against or own.flags & {"nav", "aside", "footer"} or own.named_site:
+            return False
+        own = own.parent
+    return True
+
+
 def _within(node: Node, outer: Node) -> bool:
     while node.depth > outer.depth:
         node = node.parent
     return node is outer
 
 
+def names_around(node: Node) -> tuple[frozenset, int, bool]:
+    """Words against and for content in the names of an element and those around it, below what wraps the main
+    article; and whether it is inside that. Each element is looked at once."""
+    path = []
+    while node is not None and node.names is None and not node.wraps:
+        path.append(node)
+        node = node.parent
+    if node is None:
+        known = frozenset(), 0, False
+    else:
+        known = node.names or (frozenset(), 0, node.tag not in ("html", "body"))
+    for node in reversed(path):
+        known = known[0] | node.against if node.against else known[0], known[1] + node.good, known[2]
+        node.names = known
+    return known
+
+
 def features(b: Block) -> list[float]:
     n, node, text = len(b.text), b.node, b.text
     f = node.flags
-    inside = "article" in f
-    against, good, own = set(), 0, node
-    while own is not None and not own.wraps:
-        against |= own.against
-        good += own.good
-        own = own.parent
-    chosen = own is not None and own.tag not in ("html", "body")
+    inside = "article" in f or node.headline
+    against, good, chosen = names_around(node)
     return [
         1.0,
         min(math.log1p(n) / 5, 1.6),
@@ -304,7 +354,7 @@ def features(b: Block) -> list[float]:
         float("header" in f and not inside),
         float("footer" in f),
         float("aside" in f),
-        float("form" in f or "dialog" in f),
+        float(node.form is not None or "dialog" in f),
         float(min(len(against), 2)),
         float(min(good, 2)),
         float(node.hidden),
@@ -510,9 +560,11 @@ def main_text(page: str | None, weights: list[float]) -> tuple[str, int, int]:
     if not blocks:
         return "", 0, 0
     source, sink = [], []
+    unseen = sum(len(b.text) for b in blocks if b.node.hidden)
+    dark = 2 * unseen < sum(len(b.text) for b in blocks)  # else it is the page that is hidden until a script shows it
     for b in blocks:
         z = sum(w * x for w, x in zip(weights, features(b)))
-        z = max(-12.0, min(12.0, z))
+        z = -12.0 if b.node.hidden and dark else max(-12.0, min(12.0, z))
         # a block on the source side is content: cutting it off costs what calling it boilerplate costs
         source.append(int(SCALE * math.log1p(math.exp(z))))
         sink.append(int(SCALE * math.log1p(math.exp(-z))))

@@ -106,3 +106,67 @@ def test_hostile_markup_takes_linear_time():
             H.blocks_of(piece * n)
             spent.append(time.process_time() - began)
         assert spent[1] < 10 * spent[0] + 0.5, piece
+
+
+def test_unclosed_inline_tags_take_linear_time():
+    for page in ("<b>" * 20_000 + "<p>x.</p>" * 2_000, "<i><p>" + "<b>" * 20_000 + "</i>" * 2_000, "<p>x" + "<b>" * 20_000 + "<p>y" * 2_000, "<div>x. " * 20_000, "<article><h1>x. " * 3_000):
+        began = time.process_time()
+        for b in H.blocks_of(page):
+            H.features(b)
+        assert time.process_time() - began < 2
+
+
+PARAGRAPH = "Prices rose again in the spring of that year. Nobody was sure for how long they would."
+
+
+@pytest.mark.parametrize("name", ["share-price", "ad-hoc", "legal-analysis", "comment-intro", "form-of-address", "notice-period", "related-work", "header-bidding", "social-history", "searchLight"])
+def test_compound_names_of_content(weights, name):
+    page = f"<html><body>{NAV}<article>{BODY}<p class='{name}'>{PARAGRAPH}</p></article>{FOOT}</body></html>"
+    assert H.main_text(page, weights)[0].splitlines()[-1] == PARAGRAPH
+
+
+@pytest.mark.parametrize("name", ["cookie-notice", "siteFooter", "comment-list", "newsletter-signup", "share-buttons", "ad-slot", "related-posts", "reader-comments", "site-header"])
+def test_compound_names_of_boilerplate(weights, name):
+    page = f"<html><body>{NAV}<article>{BODY}</article><div class='{name}'><p>Buy two lamps and get a third one free. Only today!</p></div>{FOOT}</body></html>"
+    assert "lamps" not in H.main_text(page, weights)[0]
+
+
+#: (page, with {b} for the article's body; what stands around it must go): everyday layouts, none from the generator.
+REAL = {
+    "form around the page": "<form id=aspnetForm action=x>{nav}<div id=ctl00_main>{b}</div>{foot}</form>",
+    "form around an article": "<form method=post>{nav}<article>{b}</article>{foot}</form>",
+    "form around main, search inside": "<form id=f>{nav}<main>{b}</main><form class=search><label>Find</label><input><button>Go</button></form>{foot}</form>",
+    "search results as a section": "{nav}<article><section class='search-results'>{b}</section></article>{foot}",
+    "wiki": "<div id=mw-head>{nav}</div><div id=content class=mw-body role=main><div id=bodyContent>{b}</div></div><div id=mw-panel><ul><li><a href=/a>Random page</a></li></ul></div>{foot}",
+    "blog": "<div id=page class=hfeed><header id=masthead class=site-header><p class=site-title>A blog</p></header><div id=primary><main id=main><article class='post type-post hentry'><div class=entry-content>{b}</div></article></main></div><div id=secondary class=widget-area><h2>Archives</h2><ul><li><a href=/1>May</a></li></ul></div></div>{foot}",
+    "table layout": "<table><tr><td colspan=2>{nav}</td></tr><tr><td class=sidebar><a href=/>Home</a> <a href=/x>Links</a></td><td class=content>{b}</td></tr></table>{foot}",
+    "news": "<header><div class=topbar>{nav}</div></header><main><article itemscope><div itemprop=articleBody>{b}</div></article><aside><h3>Most read</h3><ol><li><a href=/1>Storm</a></li></ol></aside></main>{foot}",
+    "divs with data names": "<div data-react-root><div class=x1a2>{nav}</div><div class=x9z8><article>{b}</article></div><div class=x3c4>{foot}</div></div>",
+    "paywall notice": "{nav}<main>{b}</main><div class='modal'><p>You have read three articles this month. Subscribe to go on!</p></div>{foot}",
+    "comments behind": "{nav}<article>{b}</article><div id=disqus><p>First! I have waited for this.</p><p>Second. So have I.</p></div>{foot}",
+    "share bar inside": "{nav}<article><div class=share><a href=/f>Share</a> <a href=/t>Tweet</a></div>{b}</article>{foot}",
+    "breadcrumbs": "{nav}<div class=breadcrumbs><a href=/>Home</a> / <a href=/n>News</a></div><article>{b}</article>{foot}",
+    "hidden text": "{nav}<article>{b}<p hidden>Nobody should see this. Not even once.</p></article>{foot}",
+    "template": "{nav}<template><p>A card that is filled in later. It has no text yet.</p></template><article>{b}</article>{foot}",
+    "role names": "<div role=navigation><a href=/>Home</a></div><div role=main>{b}</div><div role=contentinfo><p>Copyright by us. All of it.</p></div>",
+    "skip link": "<a class=skip href=#m>Skip to content</a>{nav}<main id=m>{b}</main>{foot}",
+    "language menu": "{nav}<div class=menu><a href=/de>Deutsch</a><a href=/fr>Fran\u00e7ais</a></div><article>{b}</article>{foot}",
+    "advert between": "{nav}<div class='ad-slot'>Shoes at half the price. Order them now.</div><article>{b}</article>{foot}",
+    "unclosed layout": "<div class=wrap>{nav}<div class=content><article>{b}</article>{foot}",
+    "old tags": "<center>{nav}</center><div align=left><font size=2><article>{b}</article></font></div>{foot}",
+}
+
+
+@pytest.mark.parametrize("layout", REAL)
+def test_everyday_layouts(weights, layout):
+    page = "<!DOCTYPE html><html><head><title>t</title></head><body>" + REAL[layout].format(b=BODY, nav=NAV, foot=FOOT) + "</body></html>"
+    want = ["The title of it"] + [f"This is paragraph number {i} of the article. It has two sentences." for i in range(6)]
+    assert H.main_text(page, weights)[0].splitlines() == want
+
+
+def test_title_in_the_header_above_main(weights):
+    inner = BODY.replace("<h1>The title of it</h1>", "")
+    text = H.main_text(f"<header><h1>The title of it</h1></header>{NAV}<main>{inner}</main>{FOOT}", weights)[0]
+    assert text.startswith("The title of it\nThis is paragraph number 0")
+    logo = H.main_text(f"<header><h1 class=logo>The Daily Paper</h1></header>{NAV}<main>{inner}</main>{FOOT}", weights)[0]
+    assert logo.startswith("This is paragraph number 0")
