@@ -120,7 +120,7 @@ def _clean(nodes: str) -> str:
     return rf"nfc_normalize(regexp_replace({blanks}, ' ?\n ?', chr(10), 'g'))"
 
 
-def _article_sql() -> str:
+def article_sql() -> str:
     sql = ARTICLE_LINES
     for nodes in ("regexp_split_to_array(x, '<[^>]*>')", "head"):
         sql = sql.replace("{clean}(" + nodes + ")", _clean(nodes))
@@ -128,7 +128,7 @@ def _article_sql() -> str:
 
 
 def pages_sql() -> str:
-    return f"""WITH {_article_sql()}
+    return f"""WITH {article_sql()}
     SELECT page_id, url, t AS title, body AS text, CASE WHEN body = '' THEN '{NO_PROSE}' END AS error FROM b JOIN pages USING (page_id)"""
 
 
@@ -137,4 +137,4 @@ def layouts_sql() -> str:
     for x in LAYOUTS:
         error = f"'{x.error}'" if x.error else "NULL"
         each.append(f"SELECT page_id, '{x.name}' AS layout, {x.title} AS title, {x.text} AS text, CAST({error} AS VARCHAR) AS error FROM b")
-    return f"WITH {_article_sql()}\n" + "\nUNION ALL ".join(each)
+    return f"WITH {article_sql()}\n" + "\nUNION ALL ".join(each)

@@ -13,6 +13,7 @@ from lexweave.operators.agreement import agreement
 from lexweave.operators.overlap import evaluated, gram_table, item_hits, previous_scores, score_answers, with_overlap
 from lexweave.operators.report import summarise
 from lexweave.operators.sampling import stratified_sample
+from lexweave.plans import stages
 from lexweave.plans.layouts import laid_out, layouts_sql, pages_sql
 from lexweave.sources.config import ScoringConfig
 from lexweave.sources.files import split_cached
@@ -152,6 +153,7 @@ def queries() -> dict:
         "stratified_sample": stratified, "text_fingerprint": text_fingerprint, "cache_hit_miss": cache_hit_miss, "url_host": url_host,
         "question_parse": question_parse, "whitespace_normalise": whitespace_normalise, "label_truncate": label_truncate,
         "page_extract": page_extract, "page_layouts": page_layouts, "diacritics_stripped": diacritics_stripped,
+        **stages.queries(),
     }
 
 
@@ -235,4 +237,5 @@ def oracle_sql() -> dict[str, str]:
         "page_extract": pages_sql(),
         "page_layouts": layouts_sql(),
         "diacritics_stripped": "SELECT doc_id, strip_accents(text) AS text FROM documents",
+        **stages.oracle_sql(),
     }

@@ -62,6 +62,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; a local session may go without one."""
+    import tempfile
+    import uuid
+
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RecordError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(named or tempfile.gettempdir()).rstrip('/')}/lexweave/{name}-{uuid.uuid4().hex}"
+
+
 def _place(spark: SparkSession, path: str) -> str:
     """``path`` with its scheme: without one it lies on the session's default file system."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(path))
