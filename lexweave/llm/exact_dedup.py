@@ -10,10 +10,11 @@ Four steps, all DataFrame expressions:
    again until no bucket is overfull. Every round looks at overfull buckets only. A look-up
    finds the bucket of a hash through the directory's root, the first bits that all buckets share,
    and the page of buckets below it.
-3. **Index.** Only texts of slots with several rows move. Equal texts are combined in each task
-   before they are dealt, so copies arrive once per task; then the text goes to the task that
-   owns its bucket. The owner compares the bytes of all texts of a slot: different ones form the
-   slot's collision chain. Each bucket becomes a folder ``bits=../prefix=..`` of the index.
+3. **Index.** Only texts of slots with several rows move, and once: each is routed through the
+   directory where it is read, and dealt by bucket and slot. Equal texts of a slot are combined
+   in each task before that, so copies arrive once per task. The owner compares the bytes of a
+   slot's texts: different ones form the slot's collision chain, with the sizes that the keys
+   give. Each bucket becomes a folder ``bits=../prefix=..`` of the index.
 4. **Probe.** Each document is routed to its bucket, looks up its slot and walks the chain to
    its own text.
 """
@@ -31,6 +32,7 @@ FIRST_BITS = 4
 DOUBLINGS = 8  # bits that one directory round may add
 MAX_BITS = 48
 CAPACITY = 1 << 14  # slots of a bucket; a bucket is a folder of files, so raise it where slots go into billions
+FEW_BUCKETS = 1 << 18  # of three numbers each, which may be broadcast
 NULL_ID = Decimal(1 << 63)  # ranks behind every real id
 STEP = Decimal(10**20)  # between two text lengths in a rank
 
@@ -101,6 +103,7 @@ def routed(rows: DataFrame, buckets: DataFrame) -> DataFrame:
         F.collect_list(F.struct("bits", "prefix")).alias("page")  # buckets below one address of the root
     )
     own = F.filter("page", lambda b: F.call_function("shiftrightunsigned", F.col("key"), F.lit(64) - b["bits"]) == b["prefix"])
+    pages = F.broadcast(pages) if buckets.limit(FEW_BUCKETS + 1).count() <= FEW_BUCKETS else pages
     found = rows.withColumn("cell", _prefix(F.col("key"), root)).join(pages, "cell").withColumn("bucket", F.get(own, 0))
     return found.select(*rows.columns, "bucket.bits", "bucket.prefix")
 
@@ -119,19 +122,18 @@ def build_index(docs: DataFrame, keys: DataFrame, capacity: int, key_bits: int =
     """
     spark = docs.sparkSession
     ranks = keys.select("key", "sha", _rank(F.col("n_chars"), F.col("doc_id")).alias("rank"))
-    slots = ranks.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max("rank").alias("best"), F.max("sha").alias("sha"))
-    slots = stored(slots, "exact_slots")
+    entries = stored(ranks.groupBy("key", "sha").agg(F.count(F.lit(1)).alias("size"), F.max("rank").alias("best")), "exact_entries")
+    slots = stored(entries.groupBy("key").agg(F.sum("size").alias("rows"), F.max("best").alias("best"), F.max("sha").alias("sha")), "exact_slots")
     buckets = stored(directory(slots.select("key"), capacity), "directory")
     alone = slots.where("rows = 1").select("key", "rows", F.array(F.struct("sha", F.col("rows").alias("size"), "best")).alias("chain"))
     text = normalised()
-    bodies = docs.select(key_of(text, key_bits).alias("key"), text.alias("body"), _rank(F.length(whole_text()), F.col("doc_id")).alias("rank"))
-    bodies = with_member(bodies, F.col("key"), slots.where("rows > 1").select("key"), "several").where("several")
-    copies = bodies.groupBy("key", "body").agg(F.count(F.lit(1)).alias("size"), F.max("rank").alias("best"))
-    # owners: a bucket's texts meet in one task, which compares them byte by byte (the grouping key is the text)
-    owned = routed(copies, buckets).repartition(shuffle_partitions(spark), "bits", "prefix")
-    texts = owned.groupBy("bits", "prefix", "key", "body").agg(F.sum("size").alias("size"), F.max("best").alias("best"))
-    chains = texts.groupBy("bits", "prefix", "key").agg(
-        F.sum("size").alias("rows"), F.collect_list(F.struct(F.unhex(F.sha2("body", 256)).alias("sha"), "size", "best")).alias("chain")
+    bodies = docs.select(key_of(text, key_bits).alias("key"), text.alias("body"))
+    bodies = with_member(bodies, F.col("key"), slots.where("rows > 1").select("key"), "several").where("several").drop("several")
+    # owners: a slot's texts meet in the task that its bucket and key name, which tells them apart by their bytes
+    owned = routed(bodies, buckets).groupBy("bits", "prefix", "key").agg(F.collect_set("body").alias("texts"))
+    texts = owned.select("bits", "prefix", "key", F.explode("texts").alias("body")).select("bits", "prefix", "key", F.unhex(F.sha2("body", 256)).alias("sha"))
+    chains = texts.join(entries, ["key", "sha"]).groupBy("bits", "prefix", "key").agg(
+        F.sum("size").alias("rows"), F.collect_list(F.struct("sha", "size", "best")).alias("chain")
     ).where("rows > 1")  # the others are slots of one row that the filter let through
     columns = ["key", "rows", "chain", "bits", "prefix"]
     whole = routed(alone, buckets).select(columns).unionByName(chains.select(columns))

@@ -72,6 +72,24 @@ def test_exact_dedup(spark, docs, rows):
     assert exact_duplicates(docs.limit(0)).count() == 0
 
 
+def test_exact_dedup_goes_through_the_directory(docs, monkeypatch):
+    """Buckets own what the directory names for them; a directory that names nothing finds nothing."""
+    from lexweave.llm import exact_dedup as X
+    from lexweave.llm.common import whole_text
+
+    text = X.normalised()
+    keys = docs.select("doc_id", X.key_of(text).alias("key"), F.unhex(F.sha2(text, 256)).alias("sha"), F.length(whole_text()).alias("n_chars")).cache()
+    index, buckets = X.build_index(docs.select("doc_id", "text"), keys, 2)
+    held = {(r["bits"], r["prefix"], r["key"] % 2**64 >> (64 - r["bits"])) for r in index.collect()}
+    named = {(r["bits"], r["prefix"]) for r in buckets.collect()}
+    assert {(b, p) for b, p, _ in held} <= named and all(p == own for _, p, own in held) and len(named) > 16
+    assert index.groupBy("bits", "prefix").count().agg(F.max("count")).first()[0] <= 2  # no bucket holds more slots than it may
+    whole, copies = X.directory, lambda: X.exact_duplicates(docs, 2).where("group_size > 1").count()
+    found = copies()
+    monkeypatch.setattr(X, "directory", lambda slots, capacity: whole(slots, capacity).where("prefix % 2 = 0"))
+    assert 0 < copies() < found
+
+
 def test_exact_dedup_null_and_repeated_ids(spark):
     from lexweave.llm.exact_dedup import drop_exact_duplicates
 
