@@ -28,7 +28,8 @@ TAIL = "<QQ4s"  # index offset, documents, magic
 
 END_ID = 2
 DICTIONARY_BYTES = 64 * 1024
-TRAINING_DOCS = 2000  # bound of the dictionary's training sample; it affects sizes, never contents
+TRAINING_DOCS = 2000  # bounds of the sample that the dictionary learns from; it affects sizes, never contents
+TRAINING_BYTES = 16 << 20
 LEVEL = 3
 MANIFEST = "shard bigint, path string, docs bigint, tokens bigint"
 READ = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
@@ -51,18 +52,27 @@ def _width(vocab: int) -> int:
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, out: str, end_id: int, size: int, rows: int) -> tuple[str, bytes]:
-    """Train on at most ``rows`` documents, those of the smallest id hashes, and store the result."""
+    """Train on whole texts of at most ``rows`` documents and ``TRAINING_BYTES``, and store the result.
+
+    They are those with an id and a text of the smallest hashes; one that is too long for what is
+    left of the bytes is passed over. The sample decides about sizes, never about contents.
+    """
     import numpy as np
     import zstandard
 
     from lexweave.llm.tokens import encoder
 
-    h = F.xxhash64("doc_id")
-    last = docs.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    some = docs.where(h <= (last or 0)).select(F.substring(whole_text(), 1, 4096).alias("text")).limit(rows)
+    able = docs.where(F.col("doc_id").isNotNull() & (F.col("text") != "")).select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    chosen, left = [], TRAINING_BYTES
+    for r in able.select("h", F.octet_length("text").alias("n")).orderBy("h", "n").limit(rows).collect():
+        if r["n"] <= left:
+            chosen.append((r["h"],))
+            left -= r["n"]
+    known = docs.sparkSession.createDataFrame(sorted(set(chosen)), "_h long")
+    some = able.join(F.broadcast(known), F.col("h") == F.col("_h")).groupBy("h").agg(F.max("text").alias("text")).orderBy("h")  # a hash is one text
     enc = encoder(tokenizer_path)
     kind = f"<u{_width(enc.vocab_size)}"
-    texts = [r[0].encode() for r in some.collect()]
+    texts = [r["text"].encode() for r in some.collect()]
     samples = [np.frombuffer(x, "<u4").astype(kind).tobytes() for i in range(0, len(texts), 200) for x in enc.encode(texts[i : i + 200])]
     try:
         raw = zstandard.train_dictionary(size, samples).as_bytes()
@@ -169,8 +179,9 @@ class TokenFile:
         """The ids of a document by its id; None if the shard lacks it."""
         import numpy as np
 
-        hits = np.flatnonzero((self.index["doc_id"] == doc_id) & (self.index["null"] == 0))
-        return self.ids(int(hits[0])) if len(hits) else None
+        first = int(np.count_nonzero(self.index["null"]))  # null ids come first, the others ascend
+        place = first + int(np.searchsorted(self.index["doc_id"][first:], doc_id))
+        return self.ids(place) if place < len(self.index) and self.index["doc_id"][place] == doc_id else None
 
 
 def read_token_files(spark: SparkSession, manifest: list) -> DataFrame:
