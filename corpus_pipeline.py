@@ -1,6 +1,7 @@
 """The corpus pipeline: five of the training-data operators, one after the other.
 
-Each stage works on everything that its predecessor kept. ``run`` writes each stage's result as
+Each stage works on everything that its predecessor kept, keeps all columns, whatever their names,
+and gives an empty table for an empty one. ``run`` writes each stage's result as
 Parquet to the shared folder and reads it back for the next.
 """
 
@@ -22,28 +23,34 @@ LEAST_SCORE = 0.05
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the corpus knows. Text without letters, or far from every profile, goes."""
+    """Documents in a language that the corpus knows. Text without letters (null and empty, too), or far from every
+    profile, goes; rows that repeat an id or a text are judged row by row. Profiles learn from rows with a lang; where
+    none has one, nothing is known and nothing stays."""
     found = identify(docs, learn(docs.select("lang", "text")))
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: the one with the most code points, then the smallest doc_id (null
+    last), then the least row by its columns. Null and empty texts are equal; whole repeated rows leave one."""
     return drop_exact_duplicates(docs).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicate links."""
+    """One document of each component of near-duplicate links, the one with the smallest doc_id (null last), then the
+    smallest set hash and the least row. Documents without words, null texts among them, link with nothing and stay."""
     return drop_near_duplicates(docs).select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that calibrated sampling takes."""
+    """The documents that calibrated sampling takes. A null source or lang is a value of its own with a target of its
+    own; rows that repeat an id are drawn row by row."""
     return mix(docs).where("sampled").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces of what is left."""
+    """The packed pieces of what is left, one row each. A null or empty text is its end id alone; rows that repeat an
+    id are documents of their own; an empty table has no piece."""
     pieces = pack(docs, tokenizer_path(), memo_words=100_000)  # its workers stand beside those of the stages before
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
