@@ -44,7 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that calibrated sampling takes. A null source or lang is a value of its own with a target of its
-    own; rows that repeat an id are drawn row by row."""
+    own; rows that repeat an id share their fate."""
     return mix(docs).where("sampled").select(docs.columns)
 
 

@@ -1,5 +1,6 @@
 import csv
 import json
+import re
 import math
 
 import pytest
@@ -126,7 +127,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["agreement", *base]) == 1 and "no label" in capsys.readouterr().err
     text = (out / "labelled_set.csv").read_text().rstrip("\n")
     (out / "labelled_set.csv").write_text(text + "yes\n")
-    assert main(["agreement", *base]) == 0 and "accuracy  1.000" in capsys.readouterr().out
+    assert main(["agreement", *base]) == 0 and re.search(r"accuracy\.+1\.000", capsys.readouterr().out)
     (out / "answers.json").write_text(json.dumps([{"answer": "x"}]))
     assert main(["report", *base]) == 1 and "lack" in capsys.readouterr().err
 
@@ -137,7 +138,9 @@ def test_entry_without_llm():
 
     code = "import sys; sys.modules['lexweave.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; print(len(e.queries()), set(e.oracle_sql()) <= set(e.queries()))"
     said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=100)
-    assert said.stdout.split() == ["18", "True"], said.stderr
+    from lexweave.plans.queries import queries
+
+    assert said.stdout.split() == [str(len(queries())), "True"], said.stderr
 
 
 def test_files_in_odd_folders(spark, tmp_path):
