@@ -601,4 +601,4 @@ def test_classifier_on_unseen_pages():
 def test_query_columns_match_contract():
     from lexweave.llm.queries import oracle_sql, queries
 
-    assert [q.split("_")[0] for q in queries()] == [f"op{n}" for n in range(1, 11)] and set(oracle_sql()) <= set(queries())
+    assert [q.split("_")[0] for q in queries()] == [f"op{n}" for n in range(1, 14)] and set(oracle_sql()) <= set(queries())
