@@ -214,9 +214,13 @@ def write_cache(articles: DataFrame, folder: str) -> None:
     articles.withColumn("_name", cache_name(F.col("url"))).foreachPartition(store)
 
 
-def split_cached(urls: DataFrame, articles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(hits, misses): cached articles of ``urls`` and URLs without one."""
-    return urls.join(articles, "url", "inner"), urls.join(articles.select("url").distinct(), "url", "left_anti")
+def split_cached(urls: DataFrame, articles: DataFrame, by: str = "url") -> tuple[DataFrame, DataFrame]:
+    """(hits, misses): cached articles of ``urls`` and URLs without one.
+
+    ``by`` names the column that tells entries apart, where pages that share an address are entries of their own.
+    """
+    held = articles.drop(*[c for c in urls.columns if c != by])
+    return urls.join(held, by, "inner"), urls.join(articles.select(by).distinct(), by, "left_anti")
 
 
 def articles_from_pages(pages: DataFrame, config: SourceConfig) -> tuple[DataFrame, DataFrame]:
