@@ -223,8 +223,8 @@ def split_cached(urls: DataFrame, articles: DataFrame, by: str = "url") -> tuple
     return urls.join(held, by, "inner"), urls.join(articles.select(by).distinct(), by, "left_anti")
 
 
-def articles_from_pages(pages: DataFrame, config: SourceConfig) -> tuple[DataFrame, DataFrame]:
-    """(articles, failures) of a page table with url, html and, if fetched, status and error."""
+def articles_from_pages(pages: DataFrame, config: SourceConfig, closed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(articles, failures) of a page table with url, html and, if fetched, status and error. ``closed`` as in ``html.parse``."""
     ok = F.lit(True)
     reason = F.lit(None).cast("string")
     if "status" in pages.columns:
@@ -232,7 +232,7 @@ def articles_from_pages(pages: DataFrame, config: SourceConfig) -> tuple[DataFra
         reason = F.when(~ok, F.concat(F.lit("returned HTTP "), F.coalesce(F.col("status").cast("string"), F.lit("nothing"))))
     if "error" in pages.columns:
         reason = F.coalesce(F.col("error"), reason)
-    done = pages.withColumns({"_why": reason, "_page": page_text(F.when(ok, F.col("html")), config.main_text_selector)})
+    done = pages.withColumns({"_why": reason, "_page": page_text(F.when(ok, F.col("html")), config.main_text_selector, closed)})
     why = F.coalesce("_why", "_page.error")
     order = [c for c in ("ordinal",) if c in pages.columns]
     text = F.col("_page.text")
@@ -240,11 +240,14 @@ def articles_from_pages(pages: DataFrame, config: SourceConfig) -> tuple[DataFra
     return good, done.where(why.isNotNull()).select(*order, "url", why.alias("error"))
 
 
-def read_through(urls: DataFrame, cached: DataFrame, pages: DataFrame, config: SourceConfig) -> tuple[DataFrame, DataFrame]:
-    """(articles, failures): cached ones pass, the rest is taken from ``pages``; a URL without a page fails."""
-    hits, misses = split_cached(urls, cached)
-    fresh, failed = articles_from_pages(misses.join(pages.drop("ordinal"), "url"), config)
-    lost = misses.join(pages.select("url").distinct(), "url", "left_anti").select("ordinal", "url", F.lit("could not fetch").alias("error"))
+def read_through(urls: DataFrame, cached: DataFrame, pages: DataFrame, config: SourceConfig, by: str = "url", closed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(articles, failures): cached ones pass, the rest is taken from ``pages``; a URL without a page fails.
+
+    ``by`` as in :func:`split_cached`, ``closed`` as in ``html.parse``.
+    """
+    hits, misses = split_cached(urls, cached, by)
+    fresh, failed = articles_from_pages(misses.join(pages.drop(*[c for c in ("ordinal", "url") if c != by]), by), config, closed)
+    lost = misses.join(pages.select(by).distinct(), by, "left_anti").select("ordinal", "url", F.lit("could not fetch").alias("error"))
     columns = ["ordinal", *schemas.ARTICLE.fieldNames()]
     return hits.select(columns).unionByName(fresh.select(columns)), failed.unionByName(lost)
 

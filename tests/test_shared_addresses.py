@@ -29,6 +29,28 @@ def beside_sql(spark, folder, name):
     assert sorted(repr(tuple(r)) for r in rows.collect()) == want
 
 
-@pytest.mark.parametrize("name", ["cache_hit_miss"])
+@pytest.mark.parametrize("name", ["cache_hit_miss", "fetch_through_cache"])
 def test_pages_that_share_an_address(spark, pages, name):
     beside_sql(spark, pages, name)
+
+
+#: Headlines that end inside a reference, as cut ones do; a name that only begins like one; numbers without an end.
+CUT = ("ends in &amp;&amp", "ends in &am", "open &lt and &quot; closed", "no &ampere; here", "&#65 and &copy", "R&D &gt;")
+
+
+@pytest.mark.parametrize("name", ["fetch_through_cache"])
+def test_references_without_an_end(spark, tmp_path, name):
+    """The SQL of the pages knows references by their semicolons."""
+    rows = [(i, f"http://h.example.org/{i}", f"<html><body><article><h1>{CUT[i % 6]}</h1><p><b>{CUT[i // 12]}</b> prose</p></article></body></html>") for i in range(72)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    beside_sql(spark, str(tmp_path), name)
+
+
+def test_references_as_browsers_have_them():
+    from lexweave.functions.html import extract, parse, select
+
+    page = "<article><p a='x&amp'>A &amp &copy 1 &ampx; &uuml; &#65 &#66;</p><noframes>R&amp</noframes></article>"
+    assert extract(page)[1] == "A & \u00a9 1 &x; \u00fc A B"
+    assert extract(page, closed=True)[1] == "A &amp &copy 1 &ampx; \u00fc &#65 B"
+    assert select(parse(page, closed=True), "p").attrs == {"a": "x&amp"}
+    assert extract("<article><p>\ufdd0 &amp</p></article>", closed=True)[1] == "\ufdd0 &amp"
