@@ -92,11 +92,15 @@ def ask(prompts: DataFrame, call: Callable[[str, str], tuple[str, str]], config:
     return prompts.select("system_prompt", "user_prompt").distinct().mapInPandas(each, schema)
 
 
-def _replied(prompts: DataFrame, replies: DataFrame, config: ModelConfig) -> DataFrame:
+def _replied(prompts: DataFrame, replies: DataFrame, config: ModelConfig, by: str | None = None) -> DataFrame:
+    own = [F.col(by).alias("_by")] if by else []
     usable = usable_replies(replies, config).select(
-        F.col("system_prompt").alias("_s"), F.col("user_prompt").alias("_u"), F.col("text").alias("reply"), "model_requested", "model_served", "error"
+        F.col("system_prompt").alias("_s"), F.col("user_prompt").alias("_u"), *own, F.col("text").alias("reply"), "model_requested", "model_served", "error"
     )
-    return prompts.join(usable, (F.col("system_prompt") == F.col("_s")) & (F.col("user_prompt") == F.col("_u")), "left").drop("_s", "_u")
+    same = (F.col("system_prompt") == F.col("_s")) & (F.col("user_prompt") == F.col("_u"))
+    if by:
+        same = same & F.col(by).eqNullSafe(F.col("_by"))
+    return prompts.join(usable, same, "left").drop("_s", "_u", "_by")
 
 
 def _refuse(replied: DataFrame, bad, what: str) -> None:
@@ -105,9 +109,12 @@ def _refuse(replied: DataFrame, bad, what: str) -> None:
         raise ReplyError(f"{first['e']}: {first['user_prompt'][:80]!r}")
 
 
-def generate_questions(articles: DataFrame, replies: DataFrame, config: ModelConfig) -> DataFrame:
-    """Question rows of every article, or :class:`ReplyError` if any reply is missing, unusable or without a question."""
-    replied = _replied(question_prompts(articles, config), replies, config)
+def generate_questions(articles: DataFrame, replies: DataFrame, config: ModelConfig, by: str | None = None) -> DataFrame:
+    """Question rows of every article, or :class:`ReplyError` if any reply is missing, unusable or without a question.
+
+    ``by``: a column of both that says which article a reply is for, where articles of one text have replies of their own.
+    """
+    replied = _replied(question_prompts(articles, config), replies, config, by)
     found = replied.withColumn("_q", parse_questions(F.col("reply"), config.questions_per_article))
     _refuse(found, F.col("error").isNotNull() | F.col("reply").isNull() | (F.size("_q") <= 0), "no question in the reply")
     return found.select("*", F.posexplode("_q").alias("_pos", "question")).select(

@@ -29,7 +29,7 @@ def beside_sql(spark, folder, name):
     assert sorted(repr(tuple(r)) for r in rows.collect()) == want
 
 
-@pytest.mark.parametrize("name", ["cache_hit_miss", "fetch_through_cache"])
+@pytest.mark.parametrize("name", ["cache_hit_miss", "fetch_through_cache", "question_stage"])
 def test_pages_that_share_an_address(spark, pages, name):
     beside_sql(spark, pages, name)
 
