@@ -151,40 +151,43 @@ def seeded_biases(model: dict, symbol_counts) -> None:
 
 
 def _squash(v):
-    """Rational stand-in for tanh, in place: v (27 + v^2) / (27 + 9 v^2), which is 1 at 3."""
-    np.clip(v, -3, 3, out=v)
+    """Rational stand-in for tanh, in place: v (27 + v^2) / (27 + 9 v^2), which is 1 at 3; here v (1/9 + 8/3 / (3 + v^2))."""
+    v.clip(-3, 3, out=v)
     s = v * v
-    v *= s + np.float32(27)
-    s *= np.float32(9)
-    s += np.float32(27)
-    v /= s
+    s += np.float32(3)
+    np.divide(np.float32(8 / 3), s, out=s)
+    s += np.float32(1 / 9)
+    v *= s
     return v
 
 
-def _step(model, x, h):
-    """One GRU step: new state and what backpropagation needs."""
-    g = model["x"].take(x, axis=0)
-    a = h @ model["h"]
-    zr = g[:, : 2 * HIDDEN]
-    zr += a[:, : 2 * HIDDEN]
+def _advance(g, weights, h, new, zr, n, a):
+    """One GRU step from the inputs' rows ``g``: fills the new state and what backpropagation needs."""
+    np.matmul(h, weights, out=a)
+    np.add(g[:, : 2 * HIDDEN], a[:, : 2 * HIDDEN], out=zr)
     zr *= np.float32(0.5)
-    zr = _squash(zr)
+    _squash(zr)
     zr += np.float32(1)
     zr *= np.float32(0.5)
-    z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-    an = a[:, 2 * HIDDEN :]
-    n = r * an
+    np.multiply(zr[:, HIDDEN:], a[:, 2 * HIDDEN :], out=n)
     n += g[:, 2 * HIDDEN :]
-    n = _squash(n)
-    new = h - n
-    new *= z
+    _squash(n)
+    np.subtract(h, n, out=new)
+    new *= zr[:, :HIDDEN]
     new += n
-    return new, z, r, n, an
+
+
+def _step(model, x, h):
+    """One GRU step over symbols ``x``: new state, z, r, n and what n has from the state before r."""
+    new, n = np.empty((2, *h.shape), h.dtype)
+    zr, a = np.empty((len(h), 2 * HIDDEN), h.dtype), np.empty((len(h), 3 * HIDDEN), h.dtype)
+    _advance(model["x"].take(x, axis=0), model["h"], h, new, zr, n, a)
+    return new, zr[:, :HIDDEN], zr[:, HIDDEN:], n, a[:, 2 * HIDDEN :]
 
 
 def _softmax(v):
     """Over rows, in place. States are within 1, so logits stay small."""
-    np.clip(v, -60, 60, out=v)
+    v.clip(-60, 60, out=v)
     np.exp(v, out=v)
     v /= (v @ np.ones(v.shape[1], v.dtype))[:, None]
     return v
@@ -192,7 +195,7 @@ def _softmax(v):
 
 def _log_sum(v):
     """log of the sum of exp over rows; overwrites ``v``. States are within 1, so logits stay small."""
-    np.clip(v, -60, 60, out=v)
+    v.clip(-60, 60, out=v)
     np.exp(v, out=v)
     return np.log(v @ np.ones(v.shape[1], v.dtype))
 
@@ -266,15 +269,19 @@ def score_documents(model: dict, symbols, lengths, end_symbol: int):
     h = np.zeros((len(lanes.size), HIDDEN), np.float32)
     for t0 in range(0, lanes.steps, SCORE_WINDOW):
         target, source, doc, active = lanes.window(t0, SCORE_WINDOW)
-        h, states = h[: target.shape[1]], []
-        for src in source:
-            start = src < 0
-            if start.any():
-                h = np.where(start[:, None], np.float32(0), h)
-            h = _step(model, np.where(start, end_symbol, src), h)[0]
-            states.append(h)
-        active = active.ravel()
-        said = log10_of(model, np.concatenate(states)[active], target.ravel()[active])
+        k = target.shape[1]
+        h, states = h[:k], np.empty((len(target), k, HIDDEN), np.float32)
+        room = [np.empty((k, size), np.float32) for size in (2 * HIDDEN, HIDDEN, 3 * HIDDEN)]
+        start = source < 0
+        x, starts = np.where(start, end_symbol, source), start.any(axis=1)
+        for t in range(len(source)):
+            if starts[t]:
+                h = np.where(start[t][:, None], np.float32(0), h)
+            _advance(model["x"].take(x[t], axis=0), model["h"], h, states[t], *room)
+            h = states[t]
+        whole, active = bool(active.all()), active.ravel()
+        states, target = states.reshape(-1, HIDDEN), target.ravel()
+        said = log10_of(model, states, target) if whole else log10_of(model, states[active], target[active])
         out += np.bincount(doc.ravel()[active], weights=said, minlength=len(out))
     return out
 
@@ -292,12 +299,15 @@ class Trainer:
         self.seen = {k: np.full_like(v, seen) for k, v in model.items()}
 
     def _update(self, name, grad, rows=None):
+        seen = self.seen[name] if rows is None else self.seen[name].take(rows, axis=0)
+        seen += grad * grad
+        step = np.multiply(grad, np.float32(self.now))
+        step /= np.sqrt(seen)
         if rows is None:
-            self.seen[name] += grad * grad
-            self.model[name] -= self.now * grad / np.sqrt(self.seen[name])
+            self.model[name] -= step
         else:
-            self.seen[name][rows] += grad * grad
-            self.model[name][rows] -= self.now * grad / np.sqrt(self.seen[name][rows])
+            self.seen[name][rows] = seen
+            self.model[name][rows] -= step
 
     def documents(self, symbols, lengths, end_symbol: int) -> float:
         """One pass over every symbol; returns the mean log10 probability before each update."""
@@ -315,21 +325,26 @@ class Trainer:
         m, steps, k = self.model, *target.shape
         whole, active = bool(active.all()), active.ravel()
         start = source < 0
-        x = np.where(start, end_symbol, source)
-        kept = np.empty((6, steps, k, HIDDEN), h.dtype)
+        x, starts = np.where(start, end_symbol, source).ravel(), start.any(axis=1)
+        inputs = m["x"].take(x, axis=0).reshape(steps, k, 3 * HIDDEN)
+        states, before, n = np.empty((3, steps, k, HIDDEN), h.dtype)
+        zr, a = np.empty((steps, k, 2 * HIDDEN), h.dtype), np.empty((steps, k, 3 * HIDDEN), h.dtype)
         for t in range(steps):
-            if start[t].any():
-                h[start[t]] = 0
-            kept[1, t] = h
-            kept[0, t], kept[2, t], kept[3, t], kept[4, t], kept[5, t] = _step(m, x[t], h)
-            h[:] = kept[0, t]
-        states, before, z, r, n, an = kept.reshape(6, steps * k, HIDDEN)
+            before[t] = states[t - 1] if t else h
+            if starts[t]:
+                before[t][start[t]] = 0
+            _advance(inputs[t], m["h"], before[t], states[t], zr[t], n[t], a[t])
+        h[:] = states[-1]
+        states, before, n, zr, a = (v.reshape(steps * k, -1) for v in (states, before, n, zr, a))
+        z, r, an = zr[:, :HIDDEN], zr[:, HIDDEN:], a[:, 2 * HIDDEN :]
         goal = target.ravel()
         cls = np.where(goal < HEAD, goal // WIDTH, HEAD_CLASSES + goal - HEAD)
         rows = np.arange(len(goal))
         scale = np.float32(1 / lanes)  # the same for every symbol, however many lanes are left
         scale = scale if whole else (active * scale)[:, None]
-        p = _softmax(states @ m["c"] + m["cb"])
+        p = states @ m["c"]
+        p += m["cb"]
+        p = _softmax(p)
         said = (np.log10(np.maximum(p[rows, cls], 1e-30)) * active).sum()
         p[rows, cls] -= 1
         p *= scale
@@ -340,43 +355,53 @@ class Trainer:
         bounds = np.searchsorted(cls[order], np.arange(HEAD_CLASSES + 1))
         order = order[: bounds[-1]]  # head words, class by class
         by_class, word, live = states.take(order, axis=0), goal[order] % WIDTH, active[order]
-        right, back = np.zeros(len(order), np.float32), np.empty_like(by_class)
+        some, own = np.flatnonzero(np.diff(bounds)).tolist(), [slice(*x) for x in zip(bounds, bounds[1:])]
+        q, back, at = np.empty((len(order), WIDTH), np.float32), np.empty_like(by_class), (np.arange(len(order)), word)
         grad_w, grad_wb = np.zeros_like(m["w"]), np.zeros_like(m["wb"])
-        for c in np.flatnonzero(np.diff(bounds)).tolist():
-            own = slice(bounds[c], bounds[c + 1])
-            s, at = by_class[own], (np.arange(bounds[c + 1] - bounds[c]), word[own])
-            q = _softmax(s @ m["w"][c] + m["wb"][c])
-            right[own] = q[at]
-            q[at] -= 1
-            q *= scale if whole else scale[order[own]]
-            back[own] = q @ m["w"][c].T
-            grad_w[c], grad_wb[c] = s.T @ q, q.sum(axis=0)
-        said += (np.log10(np.maximum(right, 1e-30)) * live).sum()
+        for c in some:  # products by class, the rest for all classes at once
+            np.matmul(by_class[own[c]], m["w"][c], out=q[own[c]])
+            q[own[c]] += m["wb"][c]
+        q = _softmax(q)
+        said += (np.log10(np.maximum(q[at], 1e-30)) * live).sum()
+        q[at] -= 1
+        q *= scale if whole else scale[order]
+        for c in some:
+            np.matmul(q[own[c]], m["w"][c].T, out=back[own[c]])
+            np.matmul(by_class[own[c]].T, q[own[c]], out=grad_w[c])
+        if some:
+            grad_wb[some] = np.add.reduceat(q, bounds[some], axis=0)
         dh[order] += back
         self._update("w", grad_w)
         self._update("wb", grad_wb)
-        # what doesn't depend on the gradient from behind, for all steps at once
-        to_n = (1 - z) * (1 - n * n)
-        to_z = (before - n) * z * (1 - z)
-        to_r = an * r * (1 - r)
-        a, g = np.empty((len(goal), 3 * HIDDEN), np.float32), np.empty((len(goal), HIDDEN), np.float32)
-        carry, back_h = np.zeros((k, HIDDEN), np.float32), np.ascontiguousarray(m["h"].T)
+        # what doesn't depend on the gradient from behind, for all steps at once: of z, r and n before the reset gate
+        rest = 1 - zr
+        to_n = n * n
+        np.subtract(np.float32(1), to_n, out=to_n)
+        to_n *= rest[:, :HIDDEN]
+        factor = inputs.reshape(steps * k, 3, HIDDEN)  # the inputs are of no more use
+        np.subtract(before, n, out=factor[:, 0])
+        factor[:, 0] *= z
+        factor[:, 0] *= rest[:, :HIDDEN]
+        np.multiply(to_n, r, out=factor[:, 2])
+        np.multiply(factor[:, 2], an, out=factor[:, 1])
+        factor[:, 1] *= rest[:, HIDDEN:]
+        split = a.reshape(steps * k, 3, HIDDEN)
+        back_h = np.ascontiguousarray(m["h"].T)
+        carry = np.zeros((k, HIDDEN), np.float32)
         for t in range(steps - 1, -1, -1):
             at = slice(t * k, t * k + k)
-            d = dh[at] + carry
-            dn = np.multiply(d, to_n[at], out=g[at])
-            np.multiply(d, to_z[at], out=a[at, :HIDDEN])
-            np.multiply(dn, to_r[at], out=a[at, HIDDEN : 2 * HIDDEN])
-            np.multiply(dn, r[at], out=a[at, 2 * HIDDEN :])
-            carry = a[at] @ back_h
+            d = dh[at]
+            d += carry
+            np.multiply(d[:, None], factor[at], out=split[at])
+            np.matmul(a[at], back_h, out=carry)
             carry += d * z[at]
-            carry[start[t]] = 0
+            if starts[t]:
+                carry[start[t]] = 0
         grad_h = before.T @ a
-        a[:, 2 * HIDDEN :] = g
-        x = x.ravel()
+        np.multiply(dh, to_n, out=split[:, 2])
         order = np.argsort(x, kind="stable")
         first = np.flatnonzero(np.diff(x[order], prepend=-1))
-        self._update("x", np.add.reduceat(a[order], first, axis=0), x[order][first])
+        self._update("x", np.add.reduceat(a.take(order, axis=0), first, axis=0), x[order][first])
         norm = np.abs(grad_h).max()
         self._update("h", grad_h / max(norm, 1.0))
         return float(said)
