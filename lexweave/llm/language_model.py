@@ -10,6 +10,7 @@ relative frequency in the training tokens. So every word, seen or not, has a pro
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -23,7 +24,9 @@ WINDOW = 32  # steps of truncated backpropagation
 LANES = 128  # documents that are trained side by side
 SCORE_LANES = 384
 SCORE_WINDOW = 32
+RUN = 2048  # states whose classes are scored at once, so that they stay in cache
 RATE = 0.1  # while all lanes are live
+LAYERS = 8  # rows of a symbol that are added one by one
 END = np.uint64(TAILS)  # the end token's id: hash 1, tail class 0
 
 _lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -55,8 +58,8 @@ def word_ids(texts: list[bytes]) -> tuple:
     edge = np.diff(space.view(np.int8), prepend=np.int8(1))
     start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     ids = np.zeros(len(start), np.uint64)
-    # powers repeat per block, so a block is a run of whole words
-    block = 1 << 18
+    # powers repeat per block, so a block is a run of whole words; small ones stay in cache
+    block = (1 << 16) - 1
     a = 0
     with np.errstate(over="ignore"):
         while a < len(start):
@@ -114,14 +117,30 @@ class Vocabulary:
         v -= np.bincount(tails, minlength=TAILS)
         return cls(ids[order], counts[order], rank[order], np.log10(n + v + 1), float(np.log10(total[0] + total[1] + 1)), total[0])
 
+    @cached_property
+    def _starts(self) -> tuple:
+        """(first place of each value of the ids' first bits, most places of a value, shift)."""
+        bits = min(len(self.ids).bit_length() + 1, 20)
+        start = np.searchsorted(self.ids >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+        return start, int(np.diff(start).max()), np.uint64(64 - bits)
+
     def look_up(self, ids) -> tuple:
         """(place in the frequent list or -1, symbol): symbol is the rank, or HEAD + tail class."""
         if not len(self.ids):
             return np.full(len(ids), -1), HEAD + (ids % np.uint64(TAILS)).astype(np.int64)
-        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        start, most, shift = self._starts
+        bucket = (ids >> shift).astype(np.int64)
+        at = np.minimum(start[bucket], len(self.ids) - 1)
         hit = self.ids[at] == ids
+        rest = np.flatnonzero(~hit)
+        for _ in range(1, most):  # words that share their first bits
+            rest = rest[at[rest] + 1 < start[bucket[rest] + 1]]
+            at[rest] += 1
+            same = self.ids[at[rest]] == ids[rest]
+            hit[rest[same]] = True
+            rest = rest[~same]
         rank = np.where(hit, self.rank[at], -1)
-        return np.where(hit, at, -1), np.where(rank >= 0, rank, HEAD + (ids % np.uint64(TAILS)).astype(np.int64))
+        return np.where(hit, at, -1), np.where(rank >= 0, rank, HEAD + (ids & np.uint64(TAILS - 1)).astype(np.int64))
 
 
 SYMBOLS = HEAD + TAILS
@@ -161,56 +180,103 @@ def _squash(v):
     return v
 
 
-def _advance(g, weights, h, new, zr, n, a):
-    """One GRU step from the inputs' rows ``g``: fills the new state and what backpropagation needs."""
+def _gate(v):
+    """(1 + squash(v / 2)) / 2, in place and without the passes for the halves."""
+    v.clip(-6, 6, out=v)
+    s = v * v
+    s += np.float32(12)
+    np.divide(np.float32(8 / 3), s, out=s)
+    s += np.float32(1 / 36)
+    v *= s
+    v += np.float32(0.5)
+    return v
+
+
+def _inputs(model, x):
+    """The inputs' rows of symbols ``x`` (the last axis), gate by gate: each gate's numbers lie side by side."""
+    return model["x"].reshape(-1, HIDDEN).take(_places(x), axis=0)
+
+
+def _places(x):
+    return 3 * x[..., None, :] + np.arange(3)[:, None]
+
+
+def _by_gate(weights):
+    return np.ascontiguousarray(weights.reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2))
+
+
+def _advance(g, weights, h, new, a, n):
+    """One GRU step from the inputs' rows ``g``, all gate by gate: fills the new state, ``n`` and, in ``a``, z, r and what n has from the state before r."""
     np.matmul(h, weights, out=a)
-    np.add(g[:, : 2 * HIDDEN], a[:, : 2 * HIDDEN], out=zr)
-    zr *= np.float32(0.5)
-    _squash(zr)
-    zr += np.float32(1)
-    zr *= np.float32(0.5)
-    np.multiply(zr[:, HIDDEN:], a[:, 2 * HIDDEN :], out=n)
-    n += g[:, 2 * HIDDEN :]
+    zr = a[:2]
+    zr += g[:2]
+    _gate(zr)
+    np.multiply(a[1], a[2], out=n)
+    n += g[2]
     _squash(n)
     np.subtract(h, n, out=new)
-    new *= zr[:, :HIDDEN]
+    new *= a[0]
     new += n
 
 
 def _step(model, x, h):
     """One GRU step over symbols ``x``: new state, z, r, n and what n has from the state before r."""
     new, n = np.empty((2, *h.shape), h.dtype)
-    zr, a = np.empty((len(h), 2 * HIDDEN), h.dtype), np.empty((len(h), 3 * HIDDEN), h.dtype)
-    _advance(model["x"].take(x, axis=0), model["h"], h, new, zr, n, a)
-    return new, zr[:, :HIDDEN], zr[:, HIDDEN:], n, a[:, 2 * HIDDEN :]
+    a = np.empty((3, *h.shape), h.dtype)
+    _advance(_inputs(model, x), _by_gate(model["h"]), h, new, a, n)
+    return new, a[0], a[1], n, a[2]
 
 
-def _softmax(v):
-    """Over rows, in place. States are within 1, so logits stay small."""
+def _exp(v):
+    """exp, in place, and its sums over rows. States are within 1, so logits stay small."""
     v.clip(-60, 60, out=v)
     np.exp(v, out=v)
-    v /= (v @ np.ones(v.shape[1], v.dtype))[:, None]
-    return v
+    return v, v @ np.ones(v.shape[1], v.dtype)
+
+
+def _summed(left, right, parts):
+    """left.T @ right, added up over runs of rows that stay in cache."""
+    return np.matmul(left.reshape(parts, -1, left.shape[1]).transpose(0, 2, 1), right.reshape(parts, -1, right.shape[1])).sum(axis=0)
 
 
 def _log_sum(v):
     """log of the sum of exp over rows; overwrites ``v``. States are within 1, so logits stay small."""
-    v.clip(-60, 60, out=v)
-    np.exp(v, out=v)
-    return np.log(v @ np.ones(v.shape[1], v.dtype))
+    return np.log(_exp(v)[1])
+
+
+def _by_symbol(rows, x):
+    """(sums, symbols): ``rows`` added up by symbol, the most frequent first. A frequent symbol's rows are one product, the others are added in layers."""
+    order = np.argsort(x.astype(np.int16), kind="stable")
+    rows, x = rows.take(order, axis=0), x[order]
+    first = np.flatnonzero(np.diff(x, prepend=-1))
+    n = np.diff(first, append=len(x))
+    order = np.argsort(-n, kind="stable")
+    first, n = first[order], n[order]
+    out, ones = rows.take(first, axis=0), np.ones(n[0], rows.dtype)
+    many = int(np.searchsorted(-n, -LAYERS))
+    for i, (a, k) in enumerate(zip(first[:many].tolist(), n[:many].tolist())):
+        np.dot(ones[:k], rows[a : a + k], out=out[i])
+    for j in range(1, LAYERS):
+        k = int(np.searchsorted(-n, -j))
+        if k <= many:
+            break
+        out[many:k] += rows.take(first[many:k] + j, axis=0)
+    return out, x[first]
 
 
 def log10_of(model, states, target):
     """log10 P(class) + log10 P(word | class) of head words, log10 P(class) of tail classes."""
     cls = np.where(target < HEAD, target // WIDTH, HEAD_CLASSES + target - HEAD)
-    v = states @ model["c"]
-    v += model["cb"]
-    out = v[np.arange(len(v)), cls] - _log_sum(v)
-    order = np.argsort(cls, kind="stable")
+    out = np.empty(len(states), np.result_type(states, model["c"]))
+    for a in range(0, len(states), RUN):
+        v, own = states[a : a + RUN] @ model["c"], cls[a : a + RUN]
+        v += model["cb"]
+        out[a : a + RUN] = v[np.arange(len(v)), own] - _log_sum(v)
+    order = np.argsort(cls.astype(np.int16), kind="stable")
     bounds = np.searchsorted(cls[order], np.arange(HEAD_CLASSES + 1))
     for k in range(HEAD_CLASSES):
-        rows = order[bounds[k] : bounds[k + 1]]
-        if len(rows):
+        for a in range(bounds[k], bounds[k + 1], RUN):
+            rows = order[a : min(a + RUN, bounds[k + 1])]
             u = states.take(rows, axis=0) @ model["w"][k]
             u += model["wb"][k]
             out[rows] += u[np.arange(len(u)), target[rows] % WIDTH] - _log_sum(u)
@@ -266,18 +332,21 @@ def score_documents(model: dict, symbols, lengths, end_symbol: int):
     """log10 of what the network says of each document's symbols, its state carried to the document's end."""
     lanes = Lanes(symbols, lengths, SCORE_LANES)
     out = np.zeros(len(lengths))
-    h = np.zeros((len(lanes.size), HIDDEN), np.float32)
-    for t0 in range(0, lanes.steps, SCORE_WINDOW):
-        target, source, doc, active = lanes.window(t0, SCORE_WINDOW)
-        k = target.shape[1]
+    h, weights, rows = np.zeros((len(lanes.size), HIDDEN), np.float32), _by_gate(model["h"]), model["x"].reshape(-1, HIDDEN)
+    t0 = 0
+    while t0 < lanes.steps:
+        live = int(np.searchsorted(-lanes.size, -t0))  # the fewer, the longer a window, while none of them ends
+        steps = max(SCORE_WINDOW, min(SCORE_LANES * SCORE_WINDOW // live, int(lanes.size[live - 1]) - t0))
+        target, source, doc, active = lanes.window(t0, steps)
+        t0, k = t0 + steps, target.shape[1]
         h, states = h[:k], np.empty((len(target), k, HIDDEN), np.float32)
-        room = [np.empty((k, size), np.float32) for size in (2 * HIDDEN, HIDDEN, 3 * HIDDEN)]
+        a, n = np.empty((3, k, HIDDEN), np.float32), np.empty((k, HIDDEN), np.float32)
         start = source < 0
-        x, starts = np.where(start, end_symbol, source), start.any(axis=1)
+        places, starts = _places(np.where(start, end_symbol, source)), start.any(axis=1)
         for t in range(len(source)):
             if starts[t]:
                 h = np.where(start[t][:, None], np.float32(0), h)
-            _advance(model["x"].take(x[t], axis=0), model["h"], h, states[t], *room)
+            _advance(rows.take(places[t], axis=0), weights, h, states[t], a, n)
             h = states[t]
         whole, active = bool(active.all()), active.ravel()
         states, target = states.reshape(-1, HIDDEN), target.ravel()
@@ -323,85 +392,84 @@ class Trainer:
     def _window(self, target, source, active, h, end_symbol, lanes) -> float:
         """One update; steps behind a lane's end are not ``active`` and weigh nothing."""
         m, steps, k = self.model, *target.shape
-        whole, active = bool(active.all()), active.ravel()
+        active = active.ravel()
         start = source < 0
         x, starts = np.where(start, end_symbol, source).ravel(), start.any(axis=1)
-        inputs = m["x"].take(x, axis=0).reshape(steps, k, 3 * HIDDEN)
+        inputs = _inputs(m, x).reshape(3, steps, k, HIDDEN)
         states, before, n = np.empty((3, steps, k, HIDDEN), h.dtype)
-        zr, a = np.empty((steps, k, 2 * HIDDEN), h.dtype), np.empty((steps, k, 3 * HIDDEN), h.dtype)
+        a, weights = np.empty((3, steps, k, HIDDEN), h.dtype), _by_gate(m["h"])
         for t in range(steps):
             before[t] = states[t - 1] if t else h
             if starts[t]:
                 before[t][start[t]] = 0
-            _advance(inputs[t], m["h"], before[t], states[t], zr[t], n[t], a[t])
+            _advance(inputs[:, t], weights, before[t], states[t], a[:, t], n[t])
         h[:] = states[-1]
-        states, before, n, zr, a = (v.reshape(steps * k, -1) for v in (states, before, n, zr, a))
-        z, r, an = zr[:, :HIDDEN], zr[:, HIDDEN:], a[:, 2 * HIDDEN :]
+        states, before, n = (v.reshape(steps * k, HIDDEN) for v in (states, before, n))
+        z, r, an = a.reshape(3, steps * k, HIDDEN)
         goal = target.ravel()
         cls = np.where(goal < HEAD, goal // WIDTH, HEAD_CLASSES + goal - HEAD)
         rows = np.arange(len(goal))
-        scale = np.float32(1 / lanes)  # the same for every symbol, however many lanes are left
-        scale = scale if whole else (active * scale)[:, None]
+        scale = active * np.float32(1 / lanes)  # the same for every symbol, however many lanes are left
         p = states @ m["c"]
         p += m["cb"]
-        p = _softmax(p)
-        said = (np.log10(np.maximum(p[rows, cls], 1e-30)) * active).sum()
-        p[rows, cls] -= 1
-        p *= scale
+        p, total = _exp(p)
+        said = (np.log10(np.maximum(p[rows, cls] / total, 1e-30)) * active).sum()
+        p *= (scale / total)[:, None]
+        p[rows, cls] -= scale
         dh = p @ m["c"].T
-        self._update("c", states.T @ p)
-        self._update("cb", p.sum(axis=0))
-        order = np.argsort(cls, kind="stable")
+        self._update("c", _summed(states, p, steps))
+        self._update("cb", np.ones(len(p), p.dtype) @ p)
+        order = np.argsort(cls.astype(np.int16), kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(HEAD_CLASSES + 1))
         order = order[: bounds[-1]]  # head words, class by class
-        by_class, word, live = states.take(order, axis=0), goal[order] % WIDTH, active[order]
+        word, live, scale = goal[order] % WIDTH, active[order], scale[order]
+        by_class = np.ones((len(order), HIDDEN + 1), np.float32)  # the last number goes with the biases
+        by_class[:, :HIDDEN] = states.take(order, axis=0)
+        words = np.concatenate((m["w"], m["wb"][:, None]), axis=1)
         some, own = np.flatnonzero(np.diff(bounds)).tolist(), [slice(*x) for x in zip(bounds, bounds[1:])]
-        q, back, at = np.empty((len(order), WIDTH), np.float32), np.empty_like(by_class), (np.arange(len(order)), word)
-        grad_w, grad_wb = np.zeros_like(m["w"]), np.zeros_like(m["wb"])
+        q, back, at = np.empty((len(order), WIDTH), np.float32), np.empty((len(order), HIDDEN), np.float32), (np.arange(len(order)), word)
+        grad = np.zeros_like(words)
         for c in some:  # products by class, the rest for all classes at once
-            np.matmul(by_class[own[c]], m["w"][c], out=q[own[c]])
-            q[own[c]] += m["wb"][c]
-        q = _softmax(q)
-        said += (np.log10(np.maximum(q[at], 1e-30)) * live).sum()
-        q[at] -= 1
-        q *= scale if whole else scale[order]
+            np.matmul(by_class[own[c]], words[c], out=q[own[c]])
+        q, total = _exp(q)
+        said += (np.log10(np.maximum(q[at] / total, 1e-30)) * live).sum()
+        q *= (scale / total)[:, None]
+        q[at] -= scale
         for c in some:
             np.matmul(q[own[c]], m["w"][c].T, out=back[own[c]])
-            np.matmul(by_class[own[c]].T, q[own[c]], out=grad_w[c])
-        if some:
-            grad_wb[some] = np.add.reduceat(q, bounds[some], axis=0)
-        dh[order] += back
-        self._update("w", grad_w)
-        self._update("wb", grad_wb)
+            np.matmul(by_class[own[c]].T, q[own[c]], out=grad[c])
+        of_words = np.zeros_like(dh)
+        of_words[order] = back
+        dh += of_words
+        self._update("w", grad[:, :HIDDEN])
+        self._update("wb", grad[:, HIDDEN])
         # what doesn't depend on the gradient from behind, for all steps at once: of z, r and n before the reset gate
-        rest = 1 - zr
+        factor = inputs.reshape(3, steps * k, HIDDEN)  # the inputs are of no more use
+        rest = 1 - z
         to_n = n * n
         np.subtract(np.float32(1), to_n, out=to_n)
-        to_n *= rest[:, :HIDDEN]
-        factor = inputs.reshape(steps * k, 3, HIDDEN)  # the inputs are of no more use
-        np.subtract(before, n, out=factor[:, 0])
-        factor[:, 0] *= z
-        factor[:, 0] *= rest[:, :HIDDEN]
-        np.multiply(to_n, r, out=factor[:, 2])
-        np.multiply(factor[:, 2], an, out=factor[:, 1])
-        factor[:, 1] *= rest[:, HIDDEN:]
-        split = a.reshape(steps * k, 3, HIDDEN)
-        back_h = np.ascontiguousarray(m["h"].T)
-        carry = np.zeros((k, HIDDEN), np.float32)
+        to_n *= rest
+        np.subtract(before, n, out=factor[0])
+        factor[0] *= z
+        factor[0] *= rest
+        np.multiply(to_n, r, out=factor[2])
+        np.multiply(factor[2], an, out=factor[1])
+        factor[1] *= np.subtract(np.float32(1), r, out=rest)
+        split = np.empty((steps * k, 3, HIDDEN), h.dtype)  # gradients lie symbol by symbol
+        back, back_h = split.reshape(steps * k, 3 * HIDDEN), np.ascontiguousarray(m["h"].T)
+        carry, factor = np.zeros((k, HIDDEN), np.float32), factor.transpose(1, 0, 2)
         for t in range(steps - 1, -1, -1):
             at = slice(t * k, t * k + k)
             d = dh[at]
             d += carry
             np.multiply(d[:, None], factor[at], out=split[at])
-            np.matmul(a[at], back_h, out=carry)
+            np.matmul(back[at], back_h, out=carry)
             carry += d * z[at]
             if starts[t]:
                 carry[start[t]] = 0
-        grad_h = before.T @ a
+        grad_h = _summed(before, back, steps)
         np.multiply(dh, to_n, out=split[:, 2])
-        order = np.argsort(x, kind="stable")
-        first = np.flatnonzero(np.diff(x[order], prepend=-1))
-        self._update("x", np.add.reduceat(a.take(order, axis=0), first, axis=0), x[order][first])
+        self._update("x", *_by_symbol(back, x))
         norm = np.abs(grad_h).max()
         self._update("h", grad_h / max(norm, 1.0))
         return float(said)

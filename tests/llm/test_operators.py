@@ -416,6 +416,35 @@ def test_one_very_long_text_takes_memory_by_its_own_length():
     tracemalloc.stop()
 
 
+def test_a_long_text_is_scored_in_few_windows(monkeypatch):
+    from lexweave.llm import language_model as L
+
+    lengths = np.array([20_000, *[20] * 400])
+    symbols = np.random.default_rng(2).integers(0, L.SYMBOLS, lengths.sum())
+    model, calls, plain = L.new_model(3), [], L.log10_of
+    monkeypatch.setattr(L, "log10_of", lambda m, states, target: calls.append(len(states)) or plain(m, states, target))
+    together = L.score_documents(model, symbols, lengths, 7)
+    assert len(calls) < 40 and sum(calls) == len(symbols) and max(calls) <= L.SCORE_LANES * L.SCORE_WINDOW
+    assert together[1:3] == pytest.approx([L.score_documents(model, symbols[a : a + 20], np.array([20]), 7)[0] for a in (20_000, 20_020)], rel=1e-4)
+
+
+def test_rows_add_up_by_symbol_and_crowded_words_are_found():
+    from lexweave.llm import language_model as L
+
+    rng = np.random.default_rng(3)
+    for n in (1, 7, 4096):
+        x, rows = np.minimum(rng.geometric(0.02, n), L.SYMBOLS - 1), rng.standard_normal((n, 6)).astype(np.float32)
+        sums, symbols = L._by_symbol(rows, x)
+        assert sorted(symbols.tolist()) == sorted(set(x.tolist()))
+        assert all(s == pytest.approx(rows[x == k].sum(axis=0), abs=1e-3) for s, k in zip(sums, symbols))
+    crowded = np.arange(1 << 40, (1 << 40) + 50, dtype=np.uint64)  # all share their first bits
+    ids = np.unique(np.concatenate((crowded, [L.END], rng.integers(0, 1 << 64, 500, dtype=np.uint64))))
+    words = L.Vocabulary(ids, np.ones(len(ids), int), np.full(len(ids), -1), np.zeros(L.TAILS), 0.0, 0)
+    asked = np.concatenate((ids, ids + np.uint64(1), [np.uint64(0), np.uint64((1 << 64) - 1)]))
+    place = {int(w): i for i, w in enumerate(ids)}
+    assert words.look_up(asked)[0].tolist() == [place.get(int(w), -1) for w in asked]
+
+
 def test_training_learns_and_words_hash_apart():
     from lexweave.llm import language_model as L
 
